@@ -9,6 +9,7 @@ from .exact_dedup import exact_duplicates
 from .lattice_lm import lattice_scores
 from .packing import Tokenizer, packed_documents
 from .simhash import simhash_components
+from .toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +35,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
