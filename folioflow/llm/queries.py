@@ -8,6 +8,7 @@ from .common import table
 from .exact_dedup import exact_duplicates
 from .lattice_lm import lattice_scores
 from .packing import Tokenizer, packed_documents
+from .quality import weak_quality
 from .simhash import simhash_components
 from .toxicity import toxicity
 
@@ -35,6 +36,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality(table(spark, sf_dir, "documents")).drop("votes")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_weak_quality": op7_weak_quality,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
