@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
 from .lattice_lm import lattice_scores
 from .packing import Tokenizer, packed_documents
+from .personal_data import PATTERNS, personal_data, span_text
 from .quality import weak_quality
 from .simhash import simhash_components
 from .toxicity import toxicity
@@ -36,6 +38,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in (*PATTERNS, "term")]
+    base = span_text(F.filter("spans", lambda s: s["kind"] != "term"))
+    return spans.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality(table(spark, sf_dir, "documents")).drop("votes")
 
@@ -52,6 +62,7 @@ QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_personal_data": op6_personal_data,
     "op7_weak_quality": op7_weak_quality,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
