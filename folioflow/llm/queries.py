@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import secrets as secret
 from .common import table
 from .exact_dedup import exact_duplicates
 from .lattice_lm import lattice_scores
@@ -38,6 +39,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secret.secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(secret.KINDS)]
+    base = secret.span_text(F.filter("spans", lambda s: s["kind"] < secret.KINDS.index("random")))
+    return spans.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret.span_text(F.col("spans")).alias("spans"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = personal_data(table(spark, sf_dir, "documents"))
     kinds = F.transform("spans", lambda s: s["kind"])
@@ -62,6 +71,7 @@ QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_secrets": op5_secrets,
     "op6_personal_data": op6_personal_data,
     "op7_weak_quality": op7_weak_quality,
     "op9_toxicity": op9_toxicity,
