@@ -38,11 +38,53 @@ from .common import held_out_mod, row_ids, shuffle_partitions, written
 
 MARK = "▁"
 #: Words whose lattices are computed together.
-TOGETHER = 2048
+TOGETHER = 8192
 #: Longer words are computed alone.
 LONG = 40
 
 
+class StringTable:
+    """Ids of strings, looked up for many strings of one length at once by a rolling 64-bit hash of their characters.
+
+    Strings that share a place in the first table are in the second, whose factor is chosen so that none share one.
+    """
+
+    BASE, FACTOR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, ids: dict[str, int], none: int, bits: int = 20, more_bits: int = 17):
+        self.none, self.shift, self.more_shift = none, np.uint64(64 - bits), np.uint64(64 - more_bits)
+        hashes = np.array([self._hash(t) for t in ids], dtype=np.uint64)
+        values = np.array(list(ids.values()), dtype=np.int32)
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two strings have one hash")
+        place = (hashes * self.FACTOR) >> self.shift
+        _, at = np.unique(place, return_index=True)
+        self.first = self._table(bits, place[at], hashes[at], values[at])
+        rest = np.setdiff1d(np.arange(len(hashes)), at)
+        self.more_factor = np.uint64(0xA0761D6478BD642F)
+        while len(np.unique(place := (hashes[rest] * self.more_factor) >> self.more_shift)) < len(rest):
+            self.more_factor += np.uint64(2)
+        self.more = self._table(more_bits, place, hashes[rest], values[rest])
+
+    def _table(self, bits: int, place: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and ids by place; an empty place has the hash of no string."""
+        own, ids = np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, self.none, dtype=np.int32)
+        own[place], ids[place] = hashes, values
+        return own, ids
+
+    def _hash(self, text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * int(self.BASE) + ord(c) + 1) & (1 << 64) - 1
+        return h
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        place = (h * self.FACTOR) >> self.shift
+        out = np.where(self.first[0][place] == h, self.first[1][place], np.int32(self.none))
+        place = (h * self.more_factor) >> self.more_shift
+        return np.where(self.more[0][place] == h, self.more[1][place], out)
+
+
 class Pieces:
     """A subword vocabulary with log weights."""
 
@@ -50,6 +92,7 @@ class Pieces:
         self.ids = {p: i for i, p in enumerate(pieces) if p}
         self.bytes, self.n, self.longest = byte_ids, len(pieces), max(map(len, pieces))
         self.log_p = np.append(log_p, -np.inf)  # at n: no such piece
+        self.table = StringTable(self.ids, self.n)
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
@@ -73,18 +116,21 @@ class Pieces:
 
     def reweighted(self, counts: np.ndarray) -> Pieces:
         out = object.__new__(Pieces)
-        out.ids, out.bytes, out.n, out.longest = self.ids, self.bytes, self.n, self.longest
+        out.ids, out.table, out.bytes, out.n, out.longest = self.ids, self.table, self.bytes, self.n, self.longest
         p = counts + 0.01
         out.log_p = np.append(np.log(p / p.sum()), -np.inf)
         return out
 
     def _edges(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """words of one length, with their marks: (start, end) to the id of each word's piece there."""
-        get, size, none = self.ids.get, len(words[0]), repeat(self.n)
+        size = len(words[0])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, size).T.astype(np.uint64) + np.uint64(1)
         out = {}
         for i in range(size):
+            h = np.zeros(len(words), dtype=np.uint64)
             for j in range(i + 1, min(size, i + self.longest) + 1):
-                found = np.fromiter(map(get, [w[i:j] for w in words], none), dtype=np.int32, count=len(words))
+                h = h * StringTable.BASE + chars[j - 1]
+                found = self.table.ids(h)
                 if (found < self.n).any():
                     out[i, j] = found
         return out

@@ -94,3 +94,11 @@ def test_held_out_rows_teach_nothing(spark):
 
 def test_empty(spark):
     assert lattice_scores(empty_docs(spark), VOCABULARY).collect() == []
+
+
+def test_string_table_finds_what_is_there(pieces):
+    table, names = pieces.table, list(pieces.ids)
+    for size in (1, 2, 5):
+        some = [t for t in names if len(t) == size][:3000]
+        h = np.array([table._hash(t) for t in [*some, *(t[::-1] + "~" for t in some)]], dtype=np.uint64)
+        assert table.ids(h).tolist() == [pieces.ids.get(t, pieces.n) for t in [*some, *(t[::-1] + "~" for t in some)]]
