@@ -9,6 +9,7 @@ from . import secrets as secret
 from .common import table
 from .exact_dedup import exact_duplicates
 from .lattice_lm import lattice_scores
+from .mixing import mixed
 from .packing import Tokenizer, packed_documents
 from .personal_data import PATTERNS, personal_data, span_text
 from .quality import weak_quality
@@ -27,6 +28,10 @@ def byte_bpe() -> Tokenizer:
     return Tokenizer(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), end_id=2)
 
 
+#: Shares of tokens by domain that the mixture aims at; high-quality text keeps its tokens.
+MIXTURE = {"high": 0.96, "low": 0.03, "toxic": 0.01}
+
+
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -39,6 +44,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIXTURE)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret.secrets(table(spark, sf_dir, "documents"))
     kinds = F.transform("spans", lambda s: s["kind"])
@@ -71,6 +80,7 @@ QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
     "op6_personal_data": op6_personal_data,
     "op7_weak_quality": op7_weak_quality,
