@@ -65,6 +65,23 @@ def held_out_mod(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+def hashed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The n rows with the least hash of the key. Most others fall away where they are, before the sort."""
+    total = df.count()
+    h = F.xxhash64(key, F.lit(seed))
+    if total > 4 * n:
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int(2 * n / total * (1 << 30)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), key).limit(n)
+
+
+def without(docs: DataFrame, dropped: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """docs but for those whose doc_id is in dropped (null is an id like others). Few ids are broadcast, more are shuffled."""
+    ids = checkpointed(dropped.select(F.col("doc_id").cast("long").alias("__dropped")).distinct())
+    if ids.count() <= most_broadcast:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for each node of the edges (u, v): (node, component).
 

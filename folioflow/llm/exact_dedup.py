@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, row_ids, shuffle_partitions, written
+from .common import SPACE, row_ids, shuffle_partitions, without, written
 
 PAGE_SCHEMA = "rid long, lid long, key long, doc_id long, n_cp long, n long, sha string, body binary, kind int"
 _PAGES = pa.schema(
@@ -219,3 +219,20 @@ def exact_duplicates(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return singles.unionByName(members)
+
+
+def without_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    found = written(exact_duplicates(docs, **options), "duplicates")
+    of_id = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    rest = without(docs, of_id.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept"))
+    again = of_id.filter("n > 1 or not kept").join(of_id.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    if again.isEmpty() and of_id.filter("doc_id is null").isEmpty():
+        return rest
+    # rows share an id: they are told apart by their text
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]", "").cast("binary"), 256)
+    kept = of_id.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    longest = F.length(F.coalesce(F.col("text"), F.lit("")))
+    order = Window.partitionBy(F.col("doc_id"), sha).orderBy(F.desc(longest))
+    return rest.join(kept, same, "left_semi").withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")

@@ -349,6 +349,17 @@ def _scored(model: Model):
     return run
 
 
+def _commonest(words: DataFrame, most: int) -> DataFrame:
+    """At most so many of the words, the commonest. They are told by their counts alone, so nothing is sorted."""
+    level = F.floor(16 * F.log2("c_all")).cast("int")
+    least, total = None, 0
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):  # at most 1024 levels
+        if (total := total + r["count"]) > most:
+            break
+        least = r.level
+    return words.filter(F.lit(False) if least is None else level >= least)
+
+
 def lattice_scores(
     docs: DataFrame, model_file: str, *, fold: tuple[int, int] = (7, 2), em_rounds: int = 2, head_words: int = 300_000, head_bytes: int = 64
 ) -> DataFrame:
@@ -369,7 +380,7 @@ def lattice_scores(
             expected[k] = n
         pieces = pieces.reweighted(expected) if expected.any() else pieces
     weighed = written(counts.mapInArrow(_with_lattice(pieces), "word binary, c long, c_all long, log_lattice double"), "weighed-words")
-    common = weighed.filter(F.length("word") <= head_bytes).orderBy(F.desc("c_all"), "word").limit(head_words).select("word", "c", "log_lattice").toArrow()
+    common = _commonest(weighed.filter(F.length("word") <= head_bytes), head_words).select("word", "c", "log_lattice").toArrow()
     names, c, lattice = common.column("word").to_pylist(), common.column("c").to_numpy(), common.column("log_lattice").to_numpy()
     is_end = np.array([not w for w in names], dtype=bool)
     head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, c > 0, model.base(c), model.score(c, lattice, is_end)))

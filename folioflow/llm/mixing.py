@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hashed_sample, without, written
 
 DOMAINS = ("high", "low", "toxic")
 #: Edges of the bins of each statistic.
@@ -52,7 +52,7 @@ def _letters(text: Column) -> Column:
 
 def toxic_stems(docs: DataFrame, domains: DataFrame, *, sample: int = 20_000, most: int = 300, least_share: float = 0.01, odds: float = 8.0) -> list[str]:
     """Beginnings of words that toxic labelled documents have more often; of at most `sample` of them by hash of the id."""
-    picked = domains.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
+    picked = hashed_sample(domains, "doc_id", sample, 3)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).join(F.broadcast(picked), "doc_id")  # at most `sample` ids
     sizes = {bool(r.y): r["count"] for r in rows.groupBy((F.col("domain") == "toxic").alias("y")).count().collect()}
@@ -170,3 +170,9 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, refe
     even = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(F.col("rate") + 1e-9) + (even < F.col("rate") - F.floor(F.col("rate") + 1e-9)).cast("long")).cast("long")
     return fitted.select("doc_id", "tokens", best.alias("domain"), *(F.element_at("p", k + 1).alias(f"p_{name}") for k, name in enumerate(names)), "rate", copies.alias("copies"))
+
+
+def sampled_to_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **options) -> DataFrame:
+    """The rows of docs that have a copy in the mixture, with all their columns, once each: a rate over one doesn't repeat
+    a document here."""
+    return without(docs, mixed(docs, labels, weights, **options).filter("copies = 0 and doc_id is not null"))

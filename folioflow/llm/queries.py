@@ -15,6 +15,7 @@ from .personal_data import PATTERNS, personal_data, span_text
 from .quality import weak_quality
 from .simhash import simhash_components
 from .toxicity import toxicity
+from .warc import derivatives, page_responses
 
 
 def vocabulary(name: str) -> str:
@@ -68,6 +69,10 @@ def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality(table(spark, sf_dir, "documents")).drop("votes")
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(page_responses(table(spark, sf_dir, "pages")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_personal_data": op6_personal_data,
     "op7_weak_quality": op7_weak_quality,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }

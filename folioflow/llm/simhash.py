@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, shuffle_partitions, written
+from .common import checkpointed, connected_components, shuffle_partitions, without, written
 
 BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 #: Shingles whose bits are counted at once.
@@ -157,3 +157,9 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, bits: int = 3, post
     parts = connected_components(links)
     named = prints.join(parts, prints["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return of_docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs whose id names their component, with all their columns; rows without any id to name them stay."""
+    found = simhash_components(docs, **options)
+    return without(docs, found.filter("component_id is not null and not doc_id <=> component_id"))

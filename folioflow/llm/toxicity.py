@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_mod
+from .common import hashed_sample, held_out_mod
 
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split()
@@ -263,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = (4, 2),
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out_mod(F.col("doc_id"), *fold))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    picked = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample)
+    picked = hashed_sample(known, "doc_id", sample, 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(20))
     rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.when(part < 12, 0).when(part < 17, 1).otherwise(2).alias("part"))  # at most `sample` ids
@@ -298,3 +298,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = (4,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_mod(F.col("doc_id"), *fold).alias("held_out"), F.col("text").cast("binary").alias("text"))
     scored = rows.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _kept(model, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[bytes, int] = {}
+        for batch in batches:
+            texts = batch.column("text").cast(pa.string()).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array(model.value.scores(texts, codes) < threshold))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of docs under the threshold, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **options))
+    return docs.mapInArrow(_kept(model, threshold), docs.schema)
