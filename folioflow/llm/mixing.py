@@ -50,7 +50,7 @@ def _letters(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.left(w, F.lit(STEM))))
 
 
-def toxic_stems(docs: DataFrame, domains: DataFrame, *, sample: int = 20_000, most: int = 300, least_share: float = 0.01, odds: float = 8.0) -> list[str]:
+def toxic_stems(docs: DataFrame, domains: DataFrame, *, sample: int = 20_000, most: int = 300, least_share: float = 0.02, odds: float = 15.0) -> list[str]:
     """Beginnings of words that toxic labelled documents have more often; of at most `sample` of them by hash of the id."""
     picked = hashed_sample(domains, "doc_id", sample, 3)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
