@@ -149,11 +149,12 @@ def fit_rates(rows: DataFrame, targets: list[float], *, rounds: int = 60, tolera
     return rows.withColumn("rate", _after(F.col("state"), steps)["rate"]).drop("state")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, reference: str | None = None, budget: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, reference: str | None = None, budget: float | None = None, epochs: float = 4.0) -> DataFrame:
     """One row per document: doc_id, tokens, domain, p_<name> for each domain, rate and copies.
 
     weights: share of tokens of each domain. The targets are weights * budget; without a budget it is such that the
-    reference domain keeps its expected tokens. copies: the rate as a whole number, rounded up by the hash of the id as often
+    reference domain keeps its expected tokens. No domain is asked for more than `epochs` times what there is of it, which
+    would only bend the rates of all others. copies: the rate as a whole number, rounded up by the hash of the id as often
     as the fraction says.
     """
     names = tuple(weights)
@@ -164,7 +165,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, refe
     if budget is None:
         at = names.index(reference or names[0])
         budget = have[at] * sum(weights.values()) / weights[names[at]]
-    targets = [w / sum(weights.values()) * budget for w in weights.values()]
+    targets = [min(w / sum(weights.values()) * budget, epochs * h) for w, h in zip(weights.values(), have, strict=True)]
     fitted = fit_rates(rows, targets)
     best = reduce(lambda a, k: F.when(F.element_at("p", k + 1) == F.array_max("p"), names[k]).otherwise(a), reversed(range(len(names))), F.lit(None).cast("string"))
     even = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
@@ -174,5 +175,5 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, refe
 
 def sampled_to_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **options) -> DataFrame:
     """The rows of docs that have a copy in the mixture, with all their columns, once each: a rate over one doesn't repeat
-    a document here."""
-    return without(docs, mixed(docs, labels, weights, **options).filter("copies = 0 and doc_id is not null"))
+    a document here, so no domain is asked for more than there is of it."""
+    return without(docs, mixed(docs, labels, weights, epochs=1.0, **options).filter("copies = 0 and doc_id is not null"))
