@@ -2,31 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import event_queries, markup_queries, text_queries
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that stand in three or more documents of a source."""
-    lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "[ \t\r]+", " "))).filter(F.length("line").between(4, 120))
-    return (
-        lines.groupBy("source", "line")
-        .agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_lines"))
-        .filter("n_docs >= 3")
-    )
-
-
-QUERIES = {"repeated_lines": repeated_lines}
-ORACLES = {
-    "repeated_lines": """
-        with l as (select source, doc_id, trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g')) as line
-                   from (select source, doc_id, unnest(string_split(text, chr(10))) as x from documents))
-        select source, line, count(distinct doc_id) as n_docs, count(*) as n_lines from l
-        where length(line) between 4 and 120 group by 1, 2 having count(distinct doc_id) >= 3
-    """
-}
+_PARTS = (text_queries, event_queries, markup_queries)
+QUERIES = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
+ORACLES = {k: sql for part in _PARTS for k, sql in part.ORACLES.items()}
