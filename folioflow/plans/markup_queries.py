@@ -1,4 +1,41 @@
 """Queries over web pages."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import events, segments
+from ..sources.tables import table
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+
+
+def pages_strict_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.verdicts(_pages(spark, sf_dir))
+
+
+def segments_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segments(_pages(spark, sf_dir)).select("doc_id", "seg_id", "start", "end", "kind", "source", F.size("fragments").alias("n_fragments"))
+
+
+def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.roundtrip(segments.segments(_pages(spark, sf_dir)))
+
+
+def byte_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.byte_batches(segments.segments(_pages(spark, sf_dir)).select("doc_id", "seg_id", "source"))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the language that their html element names."""
+    lang = F.regexp_extract("html", r'<html[^>]*\blang="([^"]*)"', 1)
+    return table(spark, sf_dir, "pages").groupBy(lang.alias("page_lang")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (pages_strict_verdict, segments_tolerant, protect_roundtrip, byte_batches, page_languages)}
+ORACLES = {
+    "page_languages": r"""select regexp_extract(html, '<html[^>]*\blang="([^"]*)"', 1) as page_lang, count(*) as n, sum(length(html))::bigint as n_chars from pages group by 1""",
+}
