@@ -17,26 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local one in local mode (tests), else one in
+    the warehouse, which executors share too."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
-        found = "file:/tmp/checkpoints"
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = "file:/tmp/checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_written(spark: SparkSession) -> None:
+    """Delete what written() has left, once no result that reads it is needed any more."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder; Spark deletes the files once nothing refers to them."""
     shared_dir(df.sparkSession)

@@ -139,6 +139,8 @@ def fit_rates(rows: DataFrame, targets: list[float], *, rounds: int = 60, tolera
         if max(map(abs, miss)) < tolerance:
             break
         error = sum(m * m * s for m, s in zip(miss, scale, strict=True))
+        if abs(best - error) < 1e-10 * sum(scale):
+            break  # the least there is
         if error > best:
             pace = 1.0  # the momentum leads astray: it starts anew
         best, faster = error, (1 + math.sqrt(1 + 4 * pace * pace)) / 2

@@ -1,8 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-The labelled rows that may be learned from are split by their hash into three parts: the lexicon (words and word
-beginnings that are far commoner in toxic documents), the trees, and the calibration, so that no part is judged by rows
-that made it. At most `sample` labelled rows are used; everything else reads every document whole.
+The lexicon holds words and word beginnings that are far commoner in toxic documents. The labelled rows that may be learned
+from are split by their hash into two halves; each half's features come from the lexicon of the other half, so that no row is
+judged by words that it gave. Three quarters of them fit the trees, the rest the calibration; documents are scored
+with the lexicon of all. At most `sample` labelled rows are used; everything else reads every document whole.
 
 Features: densities of the lexicon (number, weight, distinct, greatest), its hits near second-person pronouns, capitals,
 punctuation, obfuscation (letters mixed with digits or signs, hits that appear once it is undone, lengthened words), size.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, held_out_mod
+from .common import hashed_sample, held_out_mod, written
 
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split()
@@ -232,13 +233,15 @@ def learn_lexicon(rows: DataFrame, *, least_share: float = 0.008, most_terms: in
     return Lexicon({r.term: float(r.weight) for r in best.orderBy(F.desc("toxic"), "term").limit(most_terms).collect()})
 
 
-def _features(lexicon: Lexicon):
+def _features(lexicons: tuple[Lexicon, Lexicon]):
+    """Of the rows of each half, by the lexicon of the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[bytes, int] = {}
+        codes: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
         for batch in batches:
-            x = lexicon.matrix(batch.column("text").to_pylist(), codes)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("toxic"), flat], ["part", "toxic", "x"])
+            texts, halves = batch.column("text").to_pylist(), batch.column("half").to_pylist()
+            x = [lexicons[1 - h].features(t or b"", codes[1 - h]) for t, h in zip(texts, halves, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("fits"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["fits", "toxic", "x"])
 
     return run
 
@@ -265,15 +268,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = (4, 2),
     )
     picked = hashed_sample(known, "doc_id", sample, 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(20))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.when(part < 12, 0).when(part < 17, 1).otherwise(2).alias("part"))  # at most `sample` ids
-    lexicon = learn_lexicon(rows.filter("part = 0"))
-    got = rows.filter("part > 0").mapInArrow(_features(lexicon), "part int, toxic int, x array<double>").toArrow()  # at most `sample` rows of features
-    y, parts = got.column("toxic").to_numpy().astype(float), got.column("part").to_numpy()
-    model = Classifier(lexicon, float(y.mean()) if len(y) else 0.0)
+    h = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(8)).cast("int")
+    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", (h % 2).alias("half"), (h < 6).alias("fits"))  # at most `sample` ids
+    rows = written(rows, "labelled")
+    halves = tuple(learn_lexicon(rows.filter(F.col("half") == k)) for k in (0, 1))
+    got = rows.mapInArrow(_features(halves), "fits boolean, toxic int, x array<double>").toArrow()  # at most `sample` rows of features
+    y, fit = got.column("toxic").to_numpy().astype(float), got.column("fits").to_numpy().astype(bool)
+    model = Classifier(learn_lexicon(rows), float(y.mean()) if len(y) else 0.0)
     x = got.column("x").combine_chunks()
     x = (x.flatten() if len(y) else pa.array([], pa.float64())).to_numpy().reshape(-1, N_FEATURES)
-    fit, calibrate = parts == 1, parts == 2
+    calibrate = ~fit
     if min(y[fit].sum(), (1 - y[fit]).sum(), y[calibrate].sum(), (1 - y[calibrate]).sum()) < 1:
         fit = calibrate = np.ones(len(y), dtype=bool)  # too few for parts
     if 0 < y[fit].sum() < fit.sum():
