@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import events, segments
-from ..sources.tables import table
+from ..functions import numbers, validation
+from ..operators import dedup, events, layout, policy, segments
+from ..sources.tables import line_elements, lines, shared_folder, table
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +30,51 @@ def byte_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.byte_batches(segments.segments(_pages(spark, sf_dir)).select("doc_id", "seg_id", "source"))
 
 
+def translation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of a stand-in translator over the segments of all pages, and what they cover."""
+    out = segments.translated(spark, segments.segments(_pages(spark, sf_dir)), segments.stand_in, f"{shared_folder(spark)}/rounds")
+    return segments.coverage(out, "doc_id")
+
+
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in lines that have any."""
+    each = lines(table(spark, sf_dir, "documents")).filter(F.col("line").rlike("[0-9]"))
+    return numbers.with_numbers(each.select("doc_id", "line_no", "line"), "line").filter(F.size("numbers") > 0).select("doc_id", "line_no", F.array_join("numbers", " ").alias("numbers"))
+
+
+def math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = validation.with_math(lines(table(spark, sf_dir, "documents")).select("doc_id", "line"), "line")
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_math").alias("n_math"))
+
+
+def layout_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    elements, pages = line_elements(table(spark, sf_dir, "documents"))
+    return layout.classified(elements, pages).groupBy("doc_id", "page_no", "layout_class").agg(F.count("*").alias("n"))
+
+
+def element_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    elements, pages = line_elements(table(spark, sf_dir, "documents"))
+    return policy.requires_translation(layout.classified(elements, pages)).groupBy("layout_class", "rule").agg(F.count("*").alias("n"))
+
+
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    elements, pages = line_elements(table(spark, sf_dir, "documents"))
+    return layout.merged(elements, pages, "wrapped").select("doc_id", "page_no", "elem_idx", "content", "n_merged")
+
+
+def page_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat at one place of a source's pages, as if printed large."""
+    elements, pages = line_elements(table(spark, sf_dir, "documents"))
+    return dedup.stamps(elements.withColumn("fontsize", F.lit(20.0)), pages)
+
+
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by the language that their html element names."""
     lang = F.regexp_extract("html", r'<html[^>]*\blang="([^"]*)"', 1)
     return table(spark, sf_dir, "pages").groupBy(lang.alias("page_lang")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (pages_strict_verdict, segments_tolerant, protect_roundtrip, byte_batches, page_languages)}
+QUERIES = {f.__name__: f for f in (pages_strict_verdict, segments_tolerant, protect_roundtrip, byte_batches, page_languages, translation_coverage, line_numbers, math_lines, layout_classes, element_rules, merged_lines, page_stamps)}
 ORACLES = {
     "page_languages": r"""select regexp_extract(html, '<html[^>]*\blang="([^"]*)"', 1) as page_lang, count(*) as n, sum(length(html))::bigint as n_chars from pages group by 1""",
 }
