@@ -63,9 +63,10 @@ def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that repeat at one place of a source's pages, as if printed large."""
+    """Lines that repeat on a source's pages, as if printed large in their middle."""
     elements, pages = line_elements(table(spark, sf_dir, "documents"))
-    return dedup.stamps(elements.withColumn("fontsize", F.lit(20.0)), pages)
+    middle = {"x0": F.lit(100.0), "x1": F.lit(500.0), "y0": F.lit(380.0), "y1": F.lit(400.0), "fontsize": F.lit(20.0)}
+    return dedup.stamps(elements.withColumns(middle), pages)
 
 
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
