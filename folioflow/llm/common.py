@@ -59,6 +59,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: Arrow batches of the session hold at most so many rows, which bounds the memory of both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def row_ids():
     """Ids of the rows of this task, the same in every attempt."""
     base = TaskContext.get().partitionId() << 36

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, row_ids, shuffle_partitions, without, written
+from .common import SPACE, row_ids, shuffle_partitions, small_batches, without, written
 
 PAGE_SCHEMA = "rid long, lid long, key long, doc_id long, n_cp long, n long, sha string, body binary, kind int"
 _PAGES = pa.schema(
@@ -170,7 +170,7 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_duplicates(
-    docs: DataFrame, *, capacity: int = 20_000, max_depth: int = 14, filter_bits: int = 1 << 26, flush_bytes: int = 32 << 20
+    docs: DataFrame, *, capacity: int = 20_000, max_depth: int = 14, filter_bits: int = 1 << 26, flush_bytes: int = 16 << 20
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -178,6 +178,7 @@ def exact_duplicates(
     filter_bits: most bits of the filter of repeated keys; flush_bytes: texts that a scan task holds for comparison.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     repeated = written(rows.select("text").mapInArrow(_hash_only, "key long").groupBy("key").count().filter("count > 1").select("key"), "dup-keys")
     bits = 1 << 12

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_mod, row_ids, shuffle_partitions, written
+from .common import held_out_mod, row_ids, shuffle_partitions, small_batches, written
 
 MARK = "▁"
 #: Words whose lattices are computed together.
@@ -238,16 +238,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counter = rest if held else train
             counter.update((text or b"").lower().split())
             counter[b""] += 1
-            if len(train) + len(rest) > 400_000:
+            if len(train) + len(rest) > 250_000:
                 yield from flushed()
     yield from flushed()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 2 * TOGETHER) -> Iterator[pa.Table]:
+    """Small rows in larger batches, so that the lattices of many words are computed together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _em_step(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(pieces.n)
-        for batch in batches:
-            counts += pieces.expected_counts(_text_of(batch.column("word").to_pylist()))
+        for rows in _gathered(batches):
+            counts += pieces.expected_counts(_text_of(rows.column("word").to_pylist()))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["piece", "n"])
 
@@ -256,9 +268,9 @@ def _em_step(pieces: Pieces):
 
 def _with_lattice(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lp = pieces.log_probabilities(_text_of(batch.column("word").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], [*batch.schema.names, "log_lattice"])
+        for rows in _gathered(batches):
+            lp = pieces.log_probabilities(_text_of(rows.column("word").to_pylist()))
+            yield from rows.append_column("log_lattice", pa.array(lp)).to_batches()
 
     return run
 
@@ -368,6 +380,7 @@ def lattice_scores(
     fold: rows whose crc32(doc_id as text) mod fold[0] is fold[1] are held out; the model learns from all others.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_mod(F.col("doc_id"), *fold).alias("held_out"), F.col("text").cast("binary").alias("text"))
     counts = written(rows.select("held_out", "text").mapInArrow(_count, "word binary, c long, c_all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all")), "words")
     trained = counts.filter("c > 0")

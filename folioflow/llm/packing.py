@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_ids, shuffle_partitions, written
+from .common import row_ids, shuffle_partitions, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,7 @@ def _pieces(tokenizer: Tokenizer, size: int, with_ids: bool):
 
 def token_pieces(docs: DataFrame, tokenizer: Tokenizer, *, size: int = 1024, with_ids: bool = False) -> DataFrame:
     """Pieces of at most `size` ids, the first of a document the shorter one; with_ids adds the ids, little-endian."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return rows.mapInArrow(_pieces(tokenizer, size, with_ids), schema)

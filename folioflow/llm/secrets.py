@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -186,6 +186,7 @@ def least_bins(tokens: dict[tuple[int, int], int], text: dict[tuple[int, int], i
 
 def secrets(docs: DataFrame, *, rate: float = 0.01) -> DataFrame:
     """One row per document: doc_id, and spans array<struct<start, kind, end>> by start, then kind (a place in KINDS)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     scanned = written(rows.mapInArrow(_scan, _SCHEMA), "secrets")
 

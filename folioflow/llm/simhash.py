@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, shuffle_partitions, without, written
+from .common import checkpointed, connected_components, shuffle_partitions, small_batches, without, written
 
 BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 #: Shingles whose bits are counted at once.
@@ -150,6 +150,7 @@ def _signed(x: int) -> int:
 
 def simhash_components(docs: DataFrame, *, shingle: int = 3, bits: int = 3, posting_rows: int = 4096) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     of_docs = written(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "simhash")
     prints = checkpointed(of_docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))

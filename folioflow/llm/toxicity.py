@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, held_out_mod, written
+from .common import hashed_sample, held_out_mod, small_batches, written
 
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split()
@@ -111,7 +111,7 @@ class Lexicon:
             flag(HIDDEN), flag(LENGTHENED) / many, share(_DIGIT), np.log1p(n), (len(text) - text.count(b" ")) / many, share(_HIGH),
         ]
 
-    def matrix(self, texts: list[bytes | None], codes: dict[bytes, int], most_codes: int = 400_000) -> np.ndarray:
+    def matrix(self, texts: list[bytes | None], codes: dict[bytes, int], most_codes: int = 200_000) -> np.ndarray:
         out = np.empty((len(texts), N_FEATURES))
         for i, text in enumerate(texts):
             out[i] = self.features(text or b"", codes)
@@ -216,7 +216,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             words = {bare(t.decode("utf-8", "replace")) for t in set((text or b"").split())}
             counts[bool(toxic)].update({t for w in words for t in terms_of(w)})
-            if len(counts[True]) + len(counts[False]) > 300_000:
+            if len(counts[True]) + len(counts[False]) > 150_000:
                 yield from flushed()
     yield from flushed()
 
@@ -261,6 +261,7 @@ class Classifier:
 
 def learn(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = (4, 2), sample: int = 24_000) -> Classifier:
     """From at most `sample` labelled rows outside the fold, picked by the hash of their id."""
+    small_batches(docs.sparkSession)
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out_mod(F.col("doc_id"), *fold))

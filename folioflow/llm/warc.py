@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 Headers = list[tuple[str, str]]
 _NEWLINE = b"\r\n"
 
@@ -267,6 +269,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def page_responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """(page_id, record): a response record of each page, fetched at that date."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
     return rows.mapInArrow(_responses(date), "page_id long, record binary")
 
