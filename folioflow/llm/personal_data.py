@@ -170,7 +170,7 @@ def disclosing_terms(docs: DataFrame, marked: DataFrame, *, disclosure: float =
     told = pairs.join(df_t, "term").join(df_e, "e")
     information = F.log2(n_docs / F.col("df_e"))
     revealed = F.log2(F.col("n") * n_docs / (F.greatest("df_t", "n") * F.col("df_e")))
-    told = told.filter((information > 0) & (revealed >= disclosure * information)).select("e", "term")
+    told = written(told.filter((information > 0) & (revealed >= disclosure * information)).select("e", "term"), "told-terms")  # read twice below
     beginnings = told.filter(F.col("term").endswith("*")).select("e", F.col("term").alias("beginning"))
     full = told.filter(~F.col("term").endswith("*")).withColumn("beginning", _beginning(F.col("term")))
     kept = full.join(beginnings.withColumn("told", F.lit(True)), ["e", "beginning"], "left")
