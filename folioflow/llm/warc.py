@@ -103,6 +103,7 @@ def http_parts(block: bytes, content_type: str) -> tuple[str, Headers, bytes]:
 #: Tags that end a line of text, and those whose content isn't text.
 BLOCKS = frozenset("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 OPAQUE = frozenset("script style noscript template svg math iframe object textarea".split())
+_CLOSE = {name: re.compile(f"</{name}", re.I | re.A) for name in OPAQUE}
 _NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
@@ -110,7 +111,6 @@ _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]
 def tags_and_text(markup: str) -> Iterator[tuple[str, str]]:
     """("", text) and (name, the tag's inside); the name of an end tag starts with a slash."""
     at, size = 0, len(markup)
-    lowered = None
     while at < size:
         open_at = markup.find("<", at)
         if open_at < 0:
@@ -137,9 +137,8 @@ def tags_and_text(markup: str) -> Iterator[tuple[str, str]]:
         yield ("/" if is_end else "") + name, markup[found.end() : end]
         at = min(size, end + 1)
         if name in OPAQUE and not is_end and markup[end - 1 : end] != "/":
-            lowered = markup.lower() if lowered is None else lowered
-            close = lowered.find(f"</{name}", at) if len(lowered) == size else -1
-            at = size if close < 0 else close
+            close = _CLOSE[name].search(markup, at)  # in the markup itself: lower case may have another length
+            at = close.start() if close else size
 
 
 def _tag_end(markup: str, at: int) -> int:

@@ -33,6 +33,15 @@ def test_text():
     assert page_text("İ<script>x</script>y")[0] in ("İ", "İy")
 
 
+def test_text_after_a_script_whatever_lower_case_does_to_the_length():
+    page = "<html lang='tr'><head><STYLE>p{}</Style><script>var t='İ';</SCRIPT><title>İstanbul</title><meta name='description' content='İl'></head><body>bir<svg>x</svg> iki <a href='/l'>üç</a>"
+    for markup in (page, page.replace("İ", "I")):
+        text, about, links = page_text(markup)
+        assert text == "bir iki üç" and links == ["/l"]
+        assert about == {"title": "İstanbul", "language": "tr", "description": "İl"} or "İ" not in markup
+    assert page_text("İ<script>x</script>y")[0] == "İy"
+
+
 def test_links_between_records(spark):
     got = derivatives(page_responses(pages(spark))).collect()
     assert len(got) == 2 * len(PAGES)
