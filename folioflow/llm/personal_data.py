@@ -1,13 +1,15 @@
 r"""Personal data: patterns for identifiers, and terms that give an identifier away.
 
 Identifiers are emails, addresses of hosts, card numbers and phone numbers; each distinct one is a protected entity e.
-Terms t are the words near it. Over the whole corpus
+Terms t are the words of the documents that hold it. Over the whole corpus
 
     IC(e) = log2(D / df(e))                      what it takes to know the entity
     PMI(t; e) = log2(D * n(t, e) / (df(t) * df(e)))   how much of that the term reveals
 
-where D, df and n(t, e) count documents. A term with PMI >= disclosure * IC that is near the entity in `support`
-documents or more is replaced near it: by its beginning if that discloses less (generalised), by nothing otherwise (removed).
+where D, df and n(t, e) count documents. A term with PMI >= disclosure * IC that is with the entity in `support` documents or
+more is replaced wherever it stands in them: by its beginning if that discloses less (generalised), by nothing otherwise
+(removed). Since n(t, e) <= df(e), only terms with df(t) <= df(e)**disclosure * D**(1 - disclosure) can pass, so pairs are made
+of those alone.
 
 Patterns are written so that Java's matcher neither recurses nor tries the inside of a run again, with the same leftmost
 matches as the plain ones: a match may start only where no character of its first class is before it, or where the last match
@@ -35,7 +37,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": None, "card": None, "phone": "+"}
 #: Words of three letters or more that are no part of an identifier.
 TERM = r"(?<![\p{L}\p{N}@_%+.-])\p{L}{3,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
-REACH, NEAREST, BEGINNING = 80, 5, 4
+BEGINNING = 4
 _BLOCK = 256
 
 
@@ -56,18 +58,13 @@ def running_sums(numbers: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Matches as array<struct<start, end, value, before, after>>, in code points; before and after are the texts around."""
+    """Matches as array<struct<start, end, value>>, in code points."""
 
     def place(parts: Column, values: Column) -> Column:
         size = F.transform(values, lambda v, i: (F.length(parts[i]) + F.length(v)).cast("bigint"))
         return let(
             running_sums(size),
-            lambda ends: F.transform(
-                values,
-                lambda v, i: F.struct(
-                    (ends[i] - F.length(v)).alias("start"), ends[i].alias("end"), v.alias("value"), F.right(parts[i], F.lit(REACH)).alias("before"), F.left(parts[i + 1], F.lit(REACH)).alias("after")
-                ),
-            ),
+            lambda ends: F.transform(values, lambda v, i: F.struct((ends[i] - F.length(v)).alias("start"), ends[i].alias("end"), v.alias("value"))),
         )
 
     return let(F.split(text, pattern, -1), lambda parts: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda values: place(parts, values)))
@@ -99,7 +96,7 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-_FOUND = "array<struct<start bigint, end bigint, value string, before string, after string>>"
+_FOUND = "array<struct<start bigint, end bigint, value string>>"
 
 
 def found(kind: str, text: Column) -> Column:
@@ -109,19 +106,6 @@ def found(kind: str, text: Column) -> Column:
     return F.when(held, spans).otherwise(F.array().cast(_FOUND))
 
 
-def _near(span: Column) -> Column:
-    """The words nearest to a span: array<struct<term, start, end>>; a word that the reach cuts is none."""
-
-    def words(text: Column, at: Column, is_before: bool) -> Column:
-        whole = F.filter(
-            located(text, TERM), lambda w: (w["start"] > 0) | (F.length(text) < REACH) if is_before else (w["end"] < REACH) | (F.length(text) < REACH)
-        )
-        kept = let(whole, lambda ws: F.slice(ws, F.greatest(F.size(ws) - NEAREST + 1, F.lit(1)), F.lit(NEAREST)) if is_before else F.slice(ws, 1, NEAREST))
-        return F.transform(kept, lambda w: F.struct(F.lower(w["value"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end")))
-
-    return F.concat(words(span["before"], span["start"] - F.length(span["before"]), True), words(span["after"], span["end"], False))
-
-
 def _beginning(term: Column) -> Column:
     return F.concat(F.left(term, F.lit(BEGINNING)), F.lit("*"))
 
@@ -131,51 +115,72 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, the spans of each kind (array<struct<start, end>>), and what is near them; no text."""
+    """doc_id, rid, the spans of each kind (array<struct<start, end>>), the entities, and the text where there are any."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
-    rows = rows.select("doc_id", *(found(k, F.col("t")).alias(k) for k in PATTERNS))
-
-    def near(kind: str) -> Column:
-        def of(s: Column) -> Column:
-            return F.transform(_near(s), lambda w: F.struct(_entity(kind, s["value"]).alias("e"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))
-
-        return F.flatten(F.transform(F.col(kind), of))
+    rows = rows.select("doc_id", "t", *(found(k, F.col("t")).alias(k) for k in PATTERNS))
 
     def values(kind: str) -> Column:
         return F.transform(kind, lambda s: _entity(kind, s["value"]))
 
     spans = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in PATTERNS]
-    entities = F.array_distinct(F.concat(*map(values, PATTERNS)))
-    return rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *spans, entities.alias("entities"), F.array_distinct(F.concat(*map(near, PATTERNS))).alias("near"))
+    rows = rows.select("doc_id", "t", *spans, F.array_distinct(F.concat(*map(values, PATTERNS))).alias("entities"))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *PATTERNS, "entities", F.when(F.size("entities") > 0, F.col("t")).alias("t"))
 
 
-def disclosing_terms(docs: DataFrame, marked: DataFrame, *, disclosure: float = 0.8, support: int = 3, most_broadcast: int = 100_000) -> DataFrame:
-    """(e, term, put): terms to replace near e. marked: of identifiers(docs)."""
-    n_docs = marked.count()
-    df_e = marked.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("df_e"))
-    near = F.transform("near", lambda w: F.struct(w["e"].alias("e"), w["term"].alias("term")))
-    begun = F.transform("near", lambda w: F.struct(w["e"].alias("e"), _beginning(w["term"]).alias("term")))
-    pairs = marked.select(F.explode(F.array_distinct(F.concat(near, begun))).alias("x")).groupBy("x.e", "x.term").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
-    pairs = written(pairs.select("e", "term", "n"), "near-terms")
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    schema = "e long, term string, put string"
-    if not n_terms:
-        return docs.sparkSession.createDataFrame([], schema)
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, df_t) of all words and their beginnings."""
     words = F.transform(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
     both = let(F.array_distinct(words), lambda ws: F.concat(ws, F.array_distinct(F.transform(ws, _beginning))))
-    looked_up = F.broadcast(terms) if n_terms <= most_broadcast else terms  # beyond the bound it is a shuffled join
-    df_t = docs.select(F.explode(both).alias("term")).join(looked_up, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    told = pairs.join(df_t, "term").join(df_e, "e")
-    information = F.log2(n_docs / F.col("df_e"))
-    revealed = F.log2(F.col("n") * n_docs / (F.greatest("df_t", "n") * F.col("df_e")))
-    told = written(told.filter((information > 0) & (revealed >= disclosure * information)).select("e", "term"), "told-terms")  # read twice below
+    return docs.select(F.explode(both).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+
+
+def rare_words(marked: DataFrame, df_t: DataFrame, bound: float, most_broadcast: int = 100_000) -> DataFrame:
+    """(rid, term, start, end, df_t): each place of each word, of documents with entities, that is in at most `bound` documents;
+    a beginning has the null place."""
+
+    def both(found: Column) -> Column:
+        words = F.transform(found, lambda w: F.struct(F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+        nowhere = F.lit(None).cast("bigint")
+        begun = F.transform(F.array_distinct(F.transform(words, lambda w: _beginning(w["term"]))), lambda b: F.struct(b.alias("term"), nowhere.alias("start"), nowhere.alias("end")))
+        return F.concat(words, begun)
+
+    words = marked.filter(F.size("entities") > 0).select("rid", F.explode(let(located(F.col("t"), TERM), both)).alias("x")).select("rid", "x.*")
+    rare = df_t.filter(F.col("df_t") <= bound)
+    if rare.count() <= most_broadcast:
+        return words.join(F.broadcast(rare), "term")
+    # The commonest go first, so that none of them gathers in a task of the join: at most most_broadcast terms are above that share.
+    total = df_t.agg(F.sum("df_t")).first()[0]
+    common = df_t.filter(F.col("df_t") > max(bound, total / most_broadcast)).select("term")
+    return words.join(F.broadcast(common), "term", "left_anti").join(rare, "term")
+
+
+def disclosing_terms(docs: DataFrame, marked: DataFrame, *, disclosure: float = 0.8, support: int = 3, most_broadcast: int = 100_000) -> DataFrame | None:
+    """(rid, start, end, put): places of terms to replace; None if nothing is to be. marked: of identifiers(docs)."""
+    n_docs = marked.count()
+    entities = marked.select("rid", F.explode("entities").alias("e"))
+    df_e = written(entities.groupBy("e").agg(F.count("*").alias("df_e")).filter((F.col("df_e") >= support) & (F.col("df_e") < n_docs)), "entities")
+    n_entities, most = df_e.agg(F.count("*"), F.max("df_e")).first()
+    if not n_entities:
+        return None
+
+    def most_df(of) -> Column | float:
+        return of**disclosure * float(n_docs) ** (1 - disclosure) * (1 + 1e-9)
+
+    words = written(rare_words(marked, written(term_counts(docs), "term-counts"), most_df(most), most_broadcast), "rare-words")
+    entities = entities.join(F.broadcast(df_e) if n_entities <= most_broadcast else df_e, "e")  # beyond the bound it is a shuffled join
+    held = words.select("rid", "term", "df_t").distinct().join(entities, "rid").filter(F.col("df_t") <= most_df(F.col("df_e")))
+    held = written(held.select("rid", "e", "term", "df_t", "df_e"), "held-terms")  # read twice below
+    pairs = held.groupBy("e", "term", "df_t", "df_e").agg(F.count("*").alias("n"))
+    revealed = F.log2(F.col("n") * n_docs / (F.col("df_t") * F.col("df_e")))
+    told = pairs.filter((F.col("n") >= support) & (revealed >= disclosure * F.log2(n_docs / F.col("df_e"))))
+    told = written(told.select("e", "term"), "told-terms")
     beginnings = told.filter(F.col("term").endswith("*")).select("e", F.col("term").alias("beginning"))
     full = told.filter(~F.col("term").endswith("*")).withColumn("beginning", _beginning(F.col("term")))
     kept = full.join(beginnings.withColumn("told", F.lit(True)), ["e", "beginning"], "left")
     put = F.when(F.col("told").isNull(), F.concat(F.left("term", F.lit(BEGINNING)), F.lit("…"))).otherwise("")
-    return kept.select("e", "term", put.alias("put"))
+    by_document = held.select("rid", "e", "term").join(kept.select("e", "term", put.alias("put")), ["e", "term"]).groupBy("rid", "term").agg(F.min("put").alias("put"))
+    return words.filter("start is not null").join(by_document, ["rid", "term"]).select("rid", "start", "end", "put")
 
 
 def personal_data(docs: DataFrame, *, disclosure: float = 0.8, support: int = 3) -> DataFrame:
@@ -185,9 +190,9 @@ def personal_data(docs: DataFrame, *, disclosure: float = 0.8, support: int = 3)
     """
     marked = written(identifiers(docs), "identifiers")
     told = disclosing_terms(docs, marked, disclosure=disclosure, support=support)
-    near = marked.select("rid", F.explode("near").alias("x")).select("rid", "x.*").join(told, ["e", "term"])
-    near = near.groupBy("rid", "start", "end").agg(F.min("put").alias("put")).groupBy("rid")
-    terms = near.agg(F.sort_array(F.collect_list(F.struct("start", "end", "put"))).alias("terms"))
+    if told is None:
+        told = docs.sparkSession.createDataFrame([], "rid long, start long, end long, put string")
+    terms = told.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "put"))).alias("terms"))
 
     def named(kind: str, spans: Column, put) -> Column:
         return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put")))

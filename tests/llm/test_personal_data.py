@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm.personal_data import PATTERNS, found, personal_data, running_sums, sanitised, span_text
+from folioflow.llm.personal_data import PATTERNS, found, identifiers, personal_data, rare_words, running_sums, sanitised, span_text, term_counts
 
 from .edge import edge_docs, edge_rows, empty_docs, words
 
@@ -92,6 +92,35 @@ def test_terms_that_disclose(spark):
             assert not terms
 
 
+def test_terms_that_disclose_from_afar(spark):
+    """In another paragraph, and at each place of the text; a word beside the address that is common elsewhere stays."""
+    rng, rows = random.Random(5), []
+    for i in range(200):
+        filler = words(rng, 60).lower()
+        text = f"common {filler} common"
+        if i % 20 == 0:
+            text = f"Zweibrueck first.\n\n{filler}\n\nwrite to boss@corp.example common beside\n\n{filler}\n\nlast zweibrueck, lonelyword"
+        elif i % 3 == 0:
+            text += " beside lonelyword"
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in personal_data(docs).join(docs, "doc_id").collect():
+        places = [(s.start, s.end) for s in r.spans if s.kind == "term"]
+        if r.doc_id % 20 == 0:
+            assert {(m.start(), m.end()) for m in re.finditer("(?i)zweibrueck", r.text)} <= set(places)
+            assert not {"common", "beside", "lonelyword"} & {r.text[a:b] for a, b in places}
+        else:
+            assert not places
+
+
+@pytest.mark.parametrize("most", [100_000, 20])
+def test_rare_words_by_broadcast_and_by_shuffle(spark, most):
+    docs = spark.createDataFrame([(i, f"common word{chr(97 + i % 20) * 3} a{i}@b.example common rare{chr(97 + i % 26) * 3}") for i in range(60)], "doc_id long, text string")
+    got = rare_words(identifiers(docs), term_counts(docs), 3, most).filter("start is not null").collect()
+    want = {w for i in range(60) for w in (f"word{chr(97 + i % 20) * 3}", f"rare{chr(97 + i % 26) * 3}")}
+    assert {r.term for r in got} == want and len(got) == 120 and all(r.end - r.start == len(r.term) and r.df_t <= 3 for r in got)
+
+
 def test_clashing_columns_and_repeated_rows(spark):
     got = personal_data(edge_docs(spark)).collect()
     assert len(got) == len(edge_rows())
