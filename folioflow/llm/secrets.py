@@ -108,22 +108,31 @@ def base_spans(text: str, low: bytes) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, raw: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, bin) of tokens that no span overlaps."""
+    """(start, end, stratum, bin) of tokens, without the spans that are taken: each part between them is a token of its own."""
     if not _LONG.search(raw):
         return []
-    out, ends = [], []
+    gone: list[list[int]] = []  # taken spans, joined where they overlap
     for start, _, end in taken:
-        ends.append((start, end))
+        if gone and start <= gone[-1][1]:
+            gone[-1][1] = max(gone[-1][1], end)
+        else:
+            gone.append([start, end])
+    out, i = [], 0
     for m in _TOKEN.finditer(text):
-        body = m[0].strip("-_/+")
-        if len(body) < STRATA[0]:
-            continue
-        start, end = m.start() + m[0].index(body), m.start() + m[0].index(body) + len(body)
-        if any(a < end and start < b for a, b in ends):
-            continue
-        encoding = encoding_of(body)
-        if encoding != "decimal":
-            out.append((start, end, stratum(end - start), bin_of(randomness(body, encoding))))
+        while i < len(gone) and gone[i][1] <= m.start():
+            i += 1
+        cuts, j = [], i
+        while j < len(gone) and gone[j][0] < m.end():
+            cuts.append(gone[j])
+            j += 1
+        for at, to in zip([m.start(), *(c[1] for c in cuts)], [*(c[0] for c in cuts), m.end()], strict=True):
+            body = text[at:to].strip("-_/+") if at < to else ""
+            if len(body) < STRATA[0]:
+                continue
+            start = at + text[at:to].index(body)
+            encoding = encoding_of(body)
+            if encoding != "decimal":
+                out.append((start, start + len(body), stratum(len(body)), bin_of(randomness(body, encoding))))
     return out
 
 
