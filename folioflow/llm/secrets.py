@@ -6,7 +6,8 @@ the number of runs above and below the middle of the alphabet, and the serial co
 number of the three: p, large for random tokens and small for words.
 
 Short words pass such tests by chance, so p is held against ordinary text of the same length: in each stratum of lengths
-the words of every document, run together, give the distribution of p for text. The share of text with as large a p is
+the words of every document, run together and cut into pieces of that length, give the distribution of p for text (what
+is left at a document's end and is shorter than the piece gives none). The share of text with as large a p is
 the false-discovery p-value of a token; Benjamini and Hochberg's rule picks the tokens of each stratum. Both
 distributions are kept in bins, so the driver sees a few hundred counts whatever the corpus.
 
@@ -136,46 +137,96 @@ def candidates(text: str, raw: bytes, taken: list[tuple[int, int, int]]) -> list
     return out
 
 
-_LETTERS = re.compile(r"[A-Za-z]+")
+_NO_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127)
+_LOWERED = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
+_CHUNK = 1 << 18
+_UNIFORM = {n: np.array([_chi2_tail(c * 26 / n - n, 25) for c in range(n * n + 1)]) for n in STRATA}
 
 
-def ordinary(words: list[str], seed: int) -> list[tuple[int, int]]:
-    """(stratum, bin) of words run together to the length of each stratum; where they start depends on the seed."""
-    joined = "".join(words)
-    out = []
+def _runs_table(n: int) -> np.ndarray:
+    """p of the runs test by the number of high symbols and of changes."""
+    out = np.full((n + 1, n), 2.0 ** (1 - n))
+    for high in range(1, n):
+        mean = 2 * high * (n - high) / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        out[high] = [_normal_two_sided((1 + c - mean) / math.sqrt(spread)) if spread > 0 else 1.0 for c in range(n)]
+    return out
+
+
+_RUNS = {n: _runs_table(n) for n in STRATA}
+
+
+def _bins(x: np.ndarray) -> np.ndarray:
+    """bin_of(randomness()) of each row of letters in lower case (places in the alphabet)."""
+    m, n = x.shape
+    counts = np.bincount((np.arange(m)[:, None] * 26 + x).ravel(), minlength=26 * m).reshape(m, 26)
+    uniform = _UNIFORM[n][np.einsum("ij,ij->i", counts, counts)]
+    high = x >= 13
+    runs = _RUNS[n][high.sum(1), (high[:, 1:] != high[:, :-1]).sum(1)]
+    d = x - x.mean(1, keepdims=True)
+    own = np.einsum("ij,ij->i", d, d)
+    z = np.einsum("ij,ij->i", d[:, 1:], d[:, :-1]) / np.where(own > 0, own, 1)
+    serial = np.array([math.erfc(v) for v in (np.abs(z * n + 1) / math.sqrt(2 * n)).tolist()])
+    serial[own == 0] = 0.0
+    half = -sum(np.log(np.maximum(p, 1e-300)) for p in (uniform, runs, serial))
+    p = np.exp(-half) * (1 + half + half * half / 2)
+    out = BINS - 1 - np.minimum(BINS - 1, (10 * -np.log10(np.maximum(p, 1e-300))).astype(int))
+    for i in np.flatnonzero(x.max(1) < 6):  # read as hex
+        body = "".join(_LOWER[c] for c in x[i])
+        out[i] = bin_of(randomness(body, encoding_of(body)))
+    return out
+
+
+def ordinary(texts: list[bytes]) -> np.ndarray:
+    """Counts by (stratum, bin) of the letters of each text, run together and cut into pieces of each stratum's length."""
+    out = np.zeros((len(STRATA), BINS), np.int64)
+    letters = [t.translate(_LOWERED, _NO_LETTERS) for t in texts]
     for k, n in enumerate(STRATA):
-        if len(joined) >= n:
-            at = seed % (len(joined) - n + 1)
-            body = joined[at : at + n].lower()
-            out.append((k, bin_of(randomness(body, encoding_of(body)))))
+        pending, size = [], 0
+        for own in letters:
+            whole = len(own) // n * n
+            for at in range(0, whole, _CHUNK // n * n):
+                pending.append(own[at : min(whole, at + _CHUNK // n * n)])
+                size += len(pending[-1])
+                if size >= _CHUNK:
+                    out[k] += _binned(pending, n)
+                    pending, size = [], 0
+        if size:
+            out[k] += _binned(pending, n)
     return out
 
 
+def _binned(pieces: list[bytes], n: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, n).astype(np.int64) - ord("a")
+    return np.bincount(_bins(x), minlength=BINS)
+
+
 _SCANNED = pa.schema(
     [
         ("doc_id", pa.int64()),
         ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))),
         ("tokens", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32())]))),
-        ("text", pa.list_(pa.struct([("stratum", pa.int32()), ("bin", pa.int32())]))),
+        ("text", pa.list_(pa.struct([("stratum", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))),
     ]
 )
 _SCHEMA = (
     "doc_id long, base array<struct<start bigint, kind int, end bigint>>, "
-    "tokens array<struct<start bigint, end bigint, stratum int, bin int>>, text array<struct<stratum int, bin int>>"
+    "tokens array<struct<start bigint, end bigint, stratum int, bin int>>, text array<struct<stratum int, bin int, n bigint>>"
 )
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of text of a batch are with its first row."""
     names = [[f.name for f in t.type.value_type] for t in list(_SCANNED)[1:]]
     for batch in batches:
         columns: list[list] = [[], [], []]
-        for raw in batch.column("text").to_pylist():
-            raw = raw or b""
+        raws = [raw or b"" for raw in batch.column("text").to_pylist()]
+        null = ordinary(raws)
+        for i, raw in enumerate(raws):
             text = raw.decode("utf-8", "replace")
             spans = base_spans(text, raw.lower())
-            seed = len(raw) * 2654435761 + sum(raw[:: max(1, len(raw) // 64)])
-            middle = seed % max(1, len(text) - 400)  # letters from anywhere in the text
-            for column, rows, keys in zip(columns, (spans, candidates(text, raw, spans), ordinary(_LETTERS.findall(text, middle, middle + 400), seed)), names, strict=True):
+            counts = [(int(k), int(b), int(null[k, b])) for k, b in np.argwhere(null)] if i == 0 else []
+            for column, rows, keys in zip(columns, (spans, candidates(text, raw, spans), counts), names, strict=True):
                 column.append([dict(zip(keys, r, strict=True)) for r in rows])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t.type) for c, t in zip(columns, list(_SCANNED)[1:], strict=True))], schema=_SCANNED)
 
@@ -199,11 +250,11 @@ def secrets(docs: DataFrame, *, rate: float = 0.01) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     scanned = written(rows.mapInArrow(_scan, _SCHEMA), "secrets")
 
-    def counts(column: str) -> dict[tuple[int, int], int]:
-        grouped = scanned.select(F.explode(column).alias("x")).groupBy("x.stratum", "x.bin").count()
-        return {(r.stratum, r.bin): r["count"] for r in grouped.collect()}  # at most len(STRATA) * BINS rows
+    def counts(column: str, n: Column) -> dict[tuple[int, int], int]:
+        grouped = scanned.select(F.explode(column).alias("x")).groupBy("x.stratum", "x.bin").agg(F.sum(n).alias("n"))
+        return {(r.stratum, r.bin): r["n"] for r in grouped.collect()}  # at most len(STRATA) * BINS rows
 
-    least = least_bins(counts("tokens"), counts("text"), rate)
+    least = least_bins(counts("tokens", F.lit(1)), counts("text", F.col("x.n")), rate)
     picked = F.filter("tokens", lambda t: t["bin"] >= F.element_at(F.array(*map(F.lit, least)), t["stratum"] + 1))
     more = F.transform(picked, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
     return scanned.select("doc_id", F.sort_array(F.concat("base", more)).alias("spans"))

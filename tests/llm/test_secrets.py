@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from folioflow.llm.secrets import BINS, KINDS, STRATA, base_spans, bin_of, candidates, encoding_of, least_bins, randomness, secrets, span_text, stratum
+from folioflow.llm.secrets import BINS, KINDS, STRATA, base_spans, bin_of, candidates, encoding_of, least_bins, ordinary, randomness, secrets, span_text, stratum
 
 from .edge import edge_docs, edge_rows, empty_docs, words
 
@@ -63,6 +63,21 @@ def test_parts_beside_a_pattern_are_tested():
         assert [text[a:b] for a, b, *_ in candidates(text, raw, base_spans(text, raw.lower()))] == want
 
 
+def test_all_letters_of_all_texts_are_in_the_null():
+    rng = random.Random(8)
+    texts = ["", "é中 1", "a" * 300, "fade " * 70, words(rng, 40), words(rng, 3000), "Ab1" * 200_000]
+    want = np.zeros((len(STRATA), BINS), int)
+    for t in texts:
+        letters = "".join(re.findall("[A-Za-z]+", t)).lower()
+        for k, n in enumerate(STRATA):
+            for at in range(0, len(letters) - n + 1, n):
+                piece = letters[at : at + n]
+                want[k, bin_of(randomness(piece, encoding_of(piece)))] += 1
+    got = ordinary([t.encode() for t in texts])
+    assert got.sum(1).tolist() == want.sum(1).tolist()
+    assert np.abs(np.cumsum(got - want, 1)).max() <= 2  # rounding at a bin's edge
+
+
 def test_p_is_uniform_for_random_tokens():
     rng = random.Random(2)
     p = [randomness("".join(rng.choice("0123456789abcdef") for _ in range(200)), "hex") for _ in range(400)]
