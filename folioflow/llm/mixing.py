@@ -7,9 +7,10 @@ sum over d of t[d] * p[d, k] * r[d] tokens. Rates are fitted by projected gradie
     minimise  sum over k of (that sum - target[k])**2 / target[k],   r >= 0,   from r = 1
 
 with steps scaled by 1 / t[d], and momentum. A step needs one number a domain from the corpus and adds one vector to the rates' recipe, so
-the rates stay with the documents: only the totals by domain come to the driver.
+no document comes to the driver. A rate depends on p alone, so the fit runs over the distinct p, of which the bins of the
+statistics bound the number, and goes on until the targets are met or the error stands still; what is missed then is warned of.
 
-All of it is DataFrame functions. Labels without a domain don't teach; with no label at all the posteriors are even.
+All that reads documents is DataFrame functions. Labels without a domain don't teach; with no label at all the posteriors are even.
 Results: null or blank texts have no tokens, so their rate moves no total; repeated rows each get the same rate; a row with a null
 doc_id isn't labelled. Other columns are ignored. An empty table gives no rows.
 """
@@ -17,8 +18,10 @@ doc_id isn't labelled. Other columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,32 +126,60 @@ def _after(state: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(F.array(*(F.array(*map(F.lit, g)) for g in steps)), state, step)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], *, rounds: int = 60, tolerance: float = 1e-4, fold: int = 12) -> DataFrame:
-    """rows (tokens, p) with a rate. After `fold` steps the rates so far are written, so that the recipe stays short."""
-    n = len(targets)
-    scale = [max(t, 1e-6 * sum(targets), 1e-9) for t in targets]
-    one = F.lit(1.0)
-    rows = rows.withColumn("state", F.struct(one.alias("rate"), one.alias("ahead")))
-    gram = rows.agg(*(F.coalesce(F.sum(F.col("tokens") * F.element_at("p", i + 1) * F.element_at("p", j + 1)), F.lit(0.0)) for i in range(n) for j in range(n))).first()
-    longest = max((sum(gram[i * n + j] / math.sqrt(scale[i] * scale[j]) for j in range(n)) for i in range(n)), default=0.0)  # bounds the greatest eigenvalue
-    steps: list[list[float]] = []
-    best, pace = math.inf, 1.0
+def _descend(targets: list[float], scale: list[float], longest: float, total, step, rounds: int, tolerance: float, patience: int) -> None:
+    """Steps until each target is met to the tolerance, or `patience` of them have brought next to nothing; warns of what is
+    missed. total(): the domains' totals at the point ahead; step(vector) moves the rates."""
+    last, least, idle, pace, miss = math.inf, math.inf, 0, 1.0, []
     for _ in range(rounds if longest else 0):
-        total = rows.withColumn("now", _after(F.col("state"), steps)["ahead"]).agg(*(F.sum(F.col("tokens") * F.element_at("p", k + 1) * F.col("now")) for k in range(n))).first()
-        miss = [(total[k] - targets[k]) / scale[k] for k in range(n)]
+        miss = [(t - target) / s for t, target, s in zip(total(), targets, scale, strict=True)]
         if max(map(abs, miss)) < tolerance:
             break
         error = sum(m * m * s for m, s in zip(miss, scale, strict=True))
-        if abs(best - error) < 1e-10 * sum(scale):
+        idle = idle + 1 if least - error < 1e-10 * sum(scale) else 0
+        if idle >= patience:
             break  # the least there is
-        if error > best:
+        if error > last:
             pace = 1.0  # the momentum leads astray: it starts anew
-        best, faster = error, (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        steps.append([*(x / longest for x in miss), (pace - 1) / faster])
+        least, last, faster = min(least, error), error, (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        step([*(x / longest for x in miss), (pace - 1) / faster])
         pace = faster
-        if len(steps) == fold:
-            rows, steps = written(rows.withColumn("state", _after(F.col("state"), steps)), "rates"), []
-    return rows.withColumn("rate", _after(F.col("state"), steps)["rate"]).drop("state")
+    if max(map(abs, miss), default=0.0) >= tolerance:
+        warnings.warn("targets missed by " + ", ".join(f"{m:+.3%}" for m in miss), stacklevel=3)
+
+
+def fit_rates(rows: DataFrame, targets: list[float], *, rounds: int = 20_000, tolerance: float = 1e-4, fold: int = 12, patience: int = 10, most_local: int = 300_000) -> DataFrame:
+    """rows (tokens, p) with a rate. Up to most_local distinct p are fitted on the driver; beyond, each step is a pass over
+    them, and after `fold` steps the rates so far are written, so that the recipe stays short."""
+    n = len(targets)
+    scale = [max(t, 1e-6 * sum(targets), 1e-9) for t in targets]
+    groups = written(rows.groupBy("p").agg(F.sum("tokens").alias("tokens")), "rate-groups")
+    gram = groups.agg(*(F.coalesce(F.sum(F.col("tokens") * F.element_at("p", i + 1) * F.element_at("p", j + 1)), F.lit(0.0)) for i in range(n) for j in range(n))).first()
+    longest = max((sum(gram[i * n + j] / math.sqrt(scale[i] * scale[j]) for j in range(n)) for i in range(n)), default=0.0)  # bounds the greatest eigenvalue
+    if groups.count() <= most_local:
+        own = groups.collect()
+        p, tokens = np.array([g.p for g in own]).reshape(-1, n), np.array([g.tokens for g in own], float)
+        now = {"rate": np.ones(len(own)), "ahead": np.ones(len(own))}
+
+        def step(g: list[float]) -> None:
+            rate = np.maximum(0.0, now["ahead"] - p @ np.array(g[:-1]))
+            now.update(rate=rate, ahead=rate + g[-1] * (rate - now["rate"]))
+
+        _descend(targets, scale, longest, lambda: (tokens * now["ahead"]) @ p, step, rounds, tolerance, patience)
+        rates = rows.sparkSession.createDataFrame([(g.p, float(r)) for g, r in zip(own, now["rate"], strict=True)], "p array<double>, rate double")
+        return rows.join(F.broadcast(written(rates, "fitted-rates")), "p")
+    at = {"rows": groups.withColumn("state", F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))), "steps": []}
+
+    def total() -> list[float]:
+        ahead = at["rows"].withColumn("now", _after(F.col("state"), at["steps"])["ahead"])
+        return list(ahead.agg(*(F.sum(F.col("tokens") * F.element_at("p", k + 1) * F.col("now")) for k in range(n))).first())
+
+    def far_step(g: list[float]) -> None:
+        at["steps"].append(g)
+        if len(at["steps"]) == fold:
+            at.update(rows=written(at["rows"].withColumn("state", _after(F.col("state"), at["steps"])), "rates"), steps=[])
+
+    _descend(targets, scale, longest, total, far_step, rounds, tolerance, patience)
+    return rows.join(at["rows"].select("p", _after(F.col("state"), at["steps"])["rate"].alias("rate")), "p")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, reference: str | None = None, budget: float | None = None, epochs: float = 4.0) -> DataFrame:

@@ -68,6 +68,22 @@ def test_rates_against_brute_force(spark):
         assert got == pytest.approx(want, abs=0.25)
 
 
+def test_soft_posteriors_meet_the_targets_with_the_defaults(spark):
+    """More steps than sixty; and with targets that can't be met, what is missed is said."""
+    rng = np.random.default_rng(9)
+    kind = rng.choice(3, 400, p=[0.6, 0.3, 0.1])
+    p = np.array([rng.dirichlet(1.0 + 3 * np.eye(3)[k]) for k in kind])
+    tokens = rng.integers(50, 500, 400)
+    rows = spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "i int, tokens long, p array<double>")
+    high = (tokens @ p)[0]
+    targets = [high, high * 0.03 / 0.96 * 3, high * 0.01 / 0.96 * 6]
+    total = lambda got: (got.tokens * got.rate).to_numpy() @ np.array(got.p.tolist())
+    got = fit_rates(rows, targets).toPandas()
+    assert len(got) == 400 and total(got) == pytest.approx(targets, rel=1e-3)
+    with pytest.warns(UserWarning, match="targets missed"):
+        fit_rates(rows, targets, rounds=3)
+
+
 @pytest.mark.parametrize("labels", [[], [(15, 1, 0, "")], [(15, None, None, ""), (None, 1, 1, ""), (16, 0, 1, "")]])
 def test_edges(spark, labels):
     got = mixed(edge_docs(spark), spark.createDataFrame(labels, LABELS), WEIGHTS).collect()
