@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, font_bucket, is_disclaimer
 
-ELEMENTS = "doc_id long, page_no int, elem_idx int, content string, x0 double, y0 double, x1 double, y1 double, fontsize double, bold boolean, color int"
+ELEMENTS = "doc_id long, page_no long, elem_idx int, content string, x0 double, y0 double, x1 double, y1 double, fontsize double, bold boolean, color int"
 PAGE = ["doc_id", "page_no"]
 
 
@@ -159,79 +159,103 @@ def _like_color(a: int, b: int) -> bool:
     return p == q or neutral and max(abs(x - y) for x, y in zip(p, q, strict=True)) <= 40
 
 
-def _below(previous: Box, box: Box, least: float, most: float) -> bool:
-    """Whether the gap between two boxes is in bounds; `least` is in shares of the lesser height."""
-    gap = box.y0 - previous.y1
-    return -least * min(previous.height, box.height) <= gap <= most
+@dataclass(frozen=True)
+class Limit:
+    """The greatest of so many em, so much of the page's width, so much of the lines' height, and so many points."""
 
+    em: float
+    points: float
+    page: float = 0.0
+    line: float = 0.0
 
-Joins = Callable[[list[Box], Box, float], bool]
+    def of(self, last: Box, box: Box, width: float) -> float:
+        return max(self.em * last.em, self.points, self.page * width, self.line * max(last.height, box.height, 1.0))
 
 
-def wrapped_line(group: list[Box], box: Box, width: float) -> bool:
-    """The next visual line of a paragraph that was cut into lines."""
-    first, last = group[0], group[-1]
-    if not box.text or _is_lead(box.text) or _is_marker(box.text) or _is_heading(box) or not (_is_lead(first.text) or len(first.text) >= 45):
-        return False
-    if abs(last.em - box.em) > max(0.08 * last.em, 0.7) or last.bold != box.bold or not _like_color(last.color, box.color):
-        return False
-    if len(group) > 1 and box.x0 - min(b.x0 for b in group[1:]) >= max(1.5 * last.em, 18.0):
-        return False
-    if not _below(last, box, 0.35, max(1.45 * last.em, 1.3 * max(last.height, 1.0), 1.3 * max(box.height, 1.0), 8.0)):
-        return False
-    if abs(box.x0 - first.x0) <= max(0.5 * last.em, 4.0) and _is_reference_lead(box.text):
-        return False
-    return _shared_width(last, box) >= 0.35 and abs(box.x0 - last.x0) <= max(5 * last.em, 0.14 * width, 42.0)
+@dataclass(frozen=True)
+class MergeRule:
+    """When a box goes on a group of boxes. What is None isn't asked."""
 
+    opens: Callable[[str], bool]  # the text of the group's first box
+    size: Limit  # by how much type may differ
+    up: float  # how far the box may reach into the one above, in shares of the lesser height
+    gap: Limit  # how far it may be below
+    same_weight: bool = False
+    same_color: bool = False
+    shared: float = 0.0  # of the lesser width
+    shift: tuple[Limit, Limit] | None = None  # how far to the left and right of the last box
+    indent: tuple[Limit, Limit] | None = None  # least and most to the right of the first box
+    goes_on: Callable[[list[Box], Box], bool] = lambda group, box: True  # what else the texts must show
 
-def list_continuation(group: list[Box], box: Box, width: float) -> bool:
-    """Indented text under a numbered or bulleted item."""
-    first, last = group[0], group[-1]
-    if not _is_lead(first.text) or not box.text or _is_lead(box.text) or _is_marker(box.text) or _is_heading(box):
-        return False
-    if abs(last.em - box.em) > max(0.1 * last.em, 0.8) or last.bold != box.bold or not _like_color(last.color, box.color):
-        return False
-    if not _below(last, box, 0.25, max(1.15 * last.em, 9.0)) or _shared_width(last, box) < 0.30:
-        return False
-    return first.x0 + max(0.45 * last.em, 3.0) <= box.x0 <= first.x0 + max(5.5 * last.em, 0.16 * width, 48.0)
 
+def _is_long_or_lead(text: str) -> bool:
+    return _is_lead(text) or len(text) >= 45
 
-def strong_continuation(group: list[Box], box: Box, width: float) -> bool:
-    """A block that can only be the same paragraph."""
+
+def _is_plain(box: Box) -> bool:
+    return bool(box.text) and not (_is_lead(box.text) or _is_marker(box.text) or _is_heading(box))
+
+
+def _keeps_the_margin(group: list[Box], box: Box) -> bool:
+    """Neither indented again after wrapped lines, nor back at the margin as the next entry of a bibliography."""
     first, last = group[0], group[-1]
-    if len(first.text) < 35 or len(last.text) < 8 or len(box.text) < 12 or _TERMINAL.search(last.text) or re.search("[.․‥…·]{6,}", last.text + box.text):
-        return False
-    if _is_lead(box.text) or _is_marker(box.text) or abs(last.em - box.em) > max(0.15 * last.em, 1.0) or not _below(last, box, 0.40, max(0.55 * last.em, 4.5)):
-        return False
-    shift = box.x0 - last.x0
-    if not -max(0.35 * last.em, 3.0) <= shift <= max(4 * last.em, 0.08 * width, 32.0) or _shared_width(last, box) < 0.35:
+    again = len(group) > 1 and box.x0 - min(b.x0 for b in group[1:]) >= max(1.5 * last.em, 18.0)
+    entry = abs(box.x0 - first.x0) <= max(0.5 * last.em, 4.0) and _is_reference_lead(box.text)
+    return _is_plain(box) and not again and not entry
+
+
+def _runs_on(group: list[Box], box: Box) -> bool:
+    """Long enough, unfinished, without leaders; a capital or a figure needs a hanging indent."""
+    last = group[-1]
+    if len(last.text) < 8 or len(box.text) < 12 or _TERMINAL.search(last.text) or re.search("[.․‥…·]{6,}", last.text + box.text) or _is_lead(box.text) or _is_marker(box.text):
         return False
     opener = re.sub(r"^[\s\"'“”‘’(\[]+", "", box.text)[:1]
-    return not (opener.isupper() or opener.isdigit()) or shift >= max(0.8 * last.em, 6.0)
+    return not (opener.isupper() or opener.isdigit()) or box.x0 - last.x0 >= max(0.8 * last.em, 6.0)
 
 
-def heading_lines(group: list[Box], box: Box, width: float) -> bool:
-    """Lines of one heading: the same type, close below each other."""
-    last = group[-1]
-    return _is_heading(group[0]) and _is_heading(box) and abs(last.em - box.em) <= 0.5 and last.bold == box.bold and _below(last, box, 0.35, 0.8 * last.em) and not _is_lead(box.text)
+def _is_same_heading(group: list[Box], box: Box) -> bool:
+    return _is_heading(group[0]) and _is_heading(box) and not _is_lead(box.text)
 
 
-def reference_entry(group: list[Box], box: Box, width: float) -> bool:
-    """Hanging lines of a bibliography entry; the next author at the margin begins another."""
+def _hangs(group: list[Box], box: Box) -> bool:
+    """Indented under the entry, or no author at the margin."""
     first, last = group[0], group[-1]
-    if not _is_reference_lead(first.text) or not box.text or abs(last.em - box.em) > max(0.1 * last.em, 0.8) or not _below(last, box, 0.35, max(1.2 * last.em, 9.0)):
-        return False
-    return box.x0 >= first.x0 + max(0.5 * last.em, 4.0) or not (_is_reference_lead(box.text) or box.text[:1].isupper())
+    return bool(box.text) and (box.x0 >= first.x0 + max(0.5 * last.em, 4.0) or not (_is_reference_lead(box.text) or box.text[:1].isupper()))
 
 
-RULES: dict[str, Joins] = {"wrapped": wrapped_line, "list": list_continuation, "strong": strong_continuation, "heading": heading_lines, "reference": reference_entry}
+RULES = {
+    # Limits of the merges.
+    "wrapped": MergeRule(_is_long_or_lead, Limit(0.08, 0.7), 0.35, Limit(1.45, 8.0, line=1.3), True, True, 0.35, (Limit(5.0, 42.0, page=0.14),) * 2, goes_on=_keeps_the_margin),
+    "list": MergeRule(_is_lead, Limit(0.10, 0.8), 0.25, Limit(1.15, 9.0), True, True, 0.30, indent=(Limit(0.45, 3.0), Limit(5.5, 48.0, page=0.16)), goes_on=lambda group, box: _is_plain(box)),
+    "strong": MergeRule(lambda text: len(text) >= 35, Limit(0.15, 1.0), 0.40, Limit(0.55, 4.5), False, False, 0.35, (Limit(0.35, 3.0), Limit(4.0, 32.0, page=0.08)), goes_on=_runs_on),
+    "heading": MergeRule(bool, Limit(0.0, 0.5), 0.35, Limit(0.8, 0.0), True, goes_on=_is_same_heading),
+    "reference": MergeRule(_is_reference_lead, Limit(0.10, 0.8), 0.35, Limit(1.2, 9.0), goes_on=_hangs),
+}
 
 
-def adjacent_groups(boxes: list[Box], joins: Joins, width: float) -> Iterator[list[Box]]:
-    """Runs in reading order: each box opens a group, which takes the next ones as long as the rule lets them in."""
+def joins(rule: MergeRule, group: list[Box], box: Box, width: float) -> bool:
+    """Whether the box goes on the group."""
+    first, last = group[0], group[-1]
+    limit = lambda of: of.of(last, box, width)
+    below, right, indent = box.y0 - last.y1, box.x0 - last.x0, box.x0 - first.x0
+    return (
+        rule.opens(first.text)
+        and (not rule.same_weight or last.bold == box.bold)
+        and (not rule.same_color or _like_color(last.color, box.color))
+        and abs(last.em - box.em) <= limit(rule.size)
+        and -rule.up * min(last.height, box.height) <= below <= limit(rule.gap)
+        and _shared_width(last, box) >= rule.shared
+        and (rule.shift is None or -limit(rule.shift[0]) <= right <= limit(rule.shift[1]))
+        and (rule.indent is None or limit(rule.indent[0]) <= indent <= limit(rule.indent[1]))
+        and rule.goes_on(group, box)
+    )
+
+
+def adjacent_groups(boxes: list[Box], goes_on: Callable[[list[Box], Box], bool], starts: Callable[[Box], bool] = lambda _: True) -> Iterator[list[Box]]:
+    """Runs in reading order: a box that may start opens a group, which takes the next ones as long as the rule lets them in."""
     group: list[Box] = []
     for b in boxes:
-        if group and joins(group, b, width):
+        if group and starts(group[0]) and goes_on(group, b):
             group.append(b)
         else:
             if group:
@@ -243,13 +267,14 @@ def adjacent_groups(boxes: list[Box], joins: Joins, width: float) -> Iterator[li
 
 def merged(elements: DataFrame, pages: DataFrame, rule: str) -> DataFrame:
     """Elements with the runs of a rule as one: the box around them, texts joined, the style of most of the text, and n_merged."""
-    joins = RULES[rule]
+    of = RULES[rule]
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["y0", "x0", "elem_idx"], kind="stable")
         boxes = [Box(r.elem_idx, " ".join((r.content or "").split()), r.x0, r.y0, r.x1, r.y1, max(r.fontsize, 1.0), bool(r.bold), int(r.color or 0)) for r in rows.itertuples()]
         out = []
-        for g in adjacent_groups(boxes, joins, float(rows["width"].iloc[0])):
+        width = float(rows["width"].iloc[0])
+        for g in adjacent_groups(boxes, lambda group, box: joins(of, group, box, width), lambda b: of.opens(b.text)):
             weight: dict[tuple, float] = {}
             for b in g:
                 style = (b.em, b.bold, b.color)
@@ -310,7 +335,7 @@ def table_cells(elements: DataFrame) -> DataFrame:
         return rows[["doc_id", "page_no", "region", "elem_idx"]].assign(row_no=[places[i][0] for i in range(len(rows))], col_no=pd.array([places[i][1] for i in range(len(rows))], dtype="Int32"))
 
     keys = [*PAGE, "region"]
-    return elements.select(*keys, "elem_idx", "x0", "y0", "x1", "y1", "fontsize").groupBy(*keys).applyInPandas(region, "doc_id long, page_no int, region int, elem_idx int, row_no int, col_no int")
+    return elements.select(*keys, "elem_idx", "x0", "y0", "x1", "y1", "fontsize").groupBy(*keys).applyInPandas(region, "doc_id long, page_no long, region int, elem_idx int, row_no int, col_no int")
 
 
 def last_glyphs(spans: DataFrame, tolerance: float = 0.5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numbers, validation
+from ..functions import mathtext, numbers
 from ..operators import dedup, events, layout, policy, segments
 from ..sources.tables import line_elements, lines, shared_folder, table
 
@@ -43,7 +43,7 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = validation.with_math(lines(table(spark, sf_dir, "documents")).select("doc_id", "line"), "line")
+    each = mathtext.with_math(lines(table(spark, sf_dir, "documents")).select("doc_id", "line"), "line")
     return each.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_math").alias("n_math"))
 
 
