@@ -17,12 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local one in local mode (tests), else one in
-    the warehouse, which executors share too."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        found = "file:/tmp/checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, which they share too."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,12 +37,19 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_written(spark: SparkSession) -> None:
-    """Delete what written() has left, once no result that reads it is needed any more."""
+def n_written() -> int:
+    """How many tables written() has left so far."""
+    return len(_WRITTEN)
+
+
+def forget_written(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete what written() has left (from one number of tables to another), once no result that reads it is needed any more."""
     jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    until = len(_WRITTEN) if until is None else until
+    for name in _WRITTEN[since:until]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since:until]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -60,7 +63,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts are long: Arrow batches of the session hold at most so many rows, which bounds the memory of both sides."""
+    """Texts are long: Arrow batches of the session hold at most so many rows, which bounds the memory of both sides. The setting
+    is read when a plan runs, not when it is made, so it stays with the session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
@@ -102,30 +106,39 @@ def without(docs: DataFrame, dropped: DataFrame, most_broadcast: int = 1_000_000
     return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _with_minimum(links: DataFrame, at_most: int, many: int) -> tuple[DataFrame, DataFrame]:
+    """(links (u, v) with m, the least v of each u; the minima (u, m)). There are `at_most` links.
+
+    Minima are aggregated before the shuffle. Those of nodes with more than `many` links go to all tasks, so that the links of such
+    a node stay where they are; only links of other nodes are shuffled to meet their minimum.
+    """
+    low = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if at_most <= many:
+        return links.join(low.select("u", "m"), "u"), low.select("u", "m")
+    hubs = F.broadcast(low.filter(F.col("n") > many).select("u", F.col("m").alias("__hub")))
+    told = links.join(hubs, "u", "left")
+    rest = told.filter("__hub is null").select("u", "v").join(low.filter(F.col("n") <= many).select("u", "m"), "u").select("u", "v", "m")
+    return told.filter("__hub is not null").select("u", "v", F.col("__hub").alias("m")).union(rest), low.select("u", "m")
+
+
+def connected_components(edges: DataFrame, *, least_hub: int = 100_000, most_hubs: int = 100_000) -> DataFrame:
     """Smallest reachable id for each node of the edges (u, v): (node, component).
 
-    Alternating large-star and small-star contraction. Minima are aggregated before the shuffle and joined back,
-    so that a node with very many links isn't gathered anywhere. Each round is checkpointed in the shared folder.
+    Alternating large-star and small-star contraction until nothing changes, which takes about log2 of the longest path. Each round is
+    checkpointed in the shared folder. A hub has over `least_hub` links, and so many that there are at most `most_hubs` of them; their
+    minima are broadcast.
     """
     now = checkpointed(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    before = None
-    for _ in range(max_rounds):
+    mark, before = (now.count(),), None
+    while mark != before:
+        many = max(least_hub, 2 * mark[0] // most_hubs)
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = (
-            both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = (
-            joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        ).distinct()
-        now = checkpointed(small)
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = mark
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        joined, _ = _with_minimum(both, 2 * mark[0], many)
+        large = joined.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
+        joined, low = _with_minimum(large, 2 * mark[0], many)
+        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        now = checkpointed(small.distinct())
+        before, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

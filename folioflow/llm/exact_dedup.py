@@ -17,12 +17,13 @@ their own (one of them stays); a null doc_id loses every tie. Other columns are
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, row_ids, shuffle_partitions, small_batches, without, written
@@ -47,14 +48,13 @@ class ExtendibleDirectory:
     """Directory of 2**depth slots over key prefixes; a slot names a bucket.
 
     Built from the loads of the prefixes of `max_depth` bits: overfull buckets split in two, and the directory doubles
-    when a bucket as deep as the directory splits. Buckets at max_depth stay overfull: their texts are chained.
+    when a bucket as deep as the directory splits. Keys that share max_depth bits share a bucket, and are chained in it.
     """
 
-    def __init__(self, load: dict[int, int], capacity: int, max_depth: int):
+    def __init__(self, prefixes: np.ndarray, loads: np.ndarray, capacity: int, max_depth: int):
         self.depth, self.max_depth = 0, max_depth
         full = np.zeros(1 << max_depth, dtype=np.int64)
-        for prefix, n in load.items():
-            full[prefix] += n
+        full[prefixes] = loads
         self._sum = np.concatenate([[0], np.cumsum(full)])
         self.buckets: list[tuple[int, int]] = []  # (local depth, prefix)
         self.loads: list[int] = []
@@ -170,11 +170,12 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_duplicates(
-    docs: DataFrame, *, capacity: int = 20_000, max_depth: int = 14, filter_bits: int = 1 << 26, flush_bytes: int = 16 << 20
+    docs: DataFrame, *, capacity: int = 20_000, most_buckets: int = 1 << 16, filter_bits: int = 1 << 26, flush_bytes: int = 16 << 20
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    capacity: texts of a bucket before it splits; max_depth: the directory has at most 2**max_depth slots;
+    capacity: texts of a bucket before it splits; most_buckets: so that the directory fits the driver, the capacity grows
+    once there are about so many buckets (an owner reads its buckets one key at a time, so their size costs no memory);
     filter_bits: most bits of the filter of repeated keys; flush_bytes: texts that a scan task holds for comparison.
     """
     spark = docs.sparkSession
@@ -192,14 +193,16 @@ def exact_duplicates(
 
     pages = written(rows.mapInArrow(_page_writer(words, flush_bytes), PAGE_SCHEMA), "dup-pages", "kind")
     texts = pages.filter(F.col("kind") == TEXT)
-    prefix = F.shiftrightunsigned("key", 64 - max_depth)
-    load = {p: n for p, n in texts.groupBy(prefix.alias("p")).count().collect()}  # at most 2**max_depth rows
-    n_owners = max(1, min(shuffle_partitions(spark), sum(load.values()) // 100))
-    directory = ExtendibleDirectory(load, min(capacity, sum(load.values()) // (2 * n_owners) + 1), max_depth)  # none idle
+    n_texts = texts.count()
+    n_owners = max(1, min(shuffle_partitions(spark), n_texts // 100))
+    capacity = max(min(capacity, n_texts // (2 * n_owners) + 1), n_texts // most_buckets)  # no owner is idle
+    max_depth = 4 + math.ceil(math.log2(n_texts // capacity + 2))  # deep enough to part any bucket of even keys
+    load = texts.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("p")).agg(F.count("*").alias("n")).toArrow()  # at most 64 * most_buckets rows
+    directory = ExtendibleDirectory(load.column("p").to_numpy(), load.column("n").to_numpy(), capacity, max_depth)
     owner_of = directory.owners(n_owners)
-    slots = spark.createDataFrame([(i, owner_of[b]) for i, b in enumerate(directory.slots.tolist())], "slot long, owner int")
+    slots = spark.createDataFrame(pa.table({"slot": pa.array(range(len(directory.slots)), pa.int64()), "owner": pa.array([owner_of[b] for b in directory.slots.tolist()], pa.int32())}))
     slot = F.shiftrightunsigned("key", 64 - directory.depth) if directory.depth else F.lit(0).cast("long")
-    owned = texts.withColumn("slot", slot).join(F.broadcast(slots), "slot")  # at most 2**max_depth slots
+    owned = texts.withColumn("slot", slot).join(F.broadcast(slots), "slot")  # at most 64 * most_buckets slots
     chained = written(
         owned.select("owner", "lid", "key", "doc_id", "n_cp", "n", "sha", "rid", "body")
         .repartition(n_owners, "owner")
@@ -233,7 +236,9 @@ def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     # rows share an id: they are told apart by their text
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]", "").cast("binary"), 256)
     kept = of_id.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha"))
     longest = F.length(F.coalesce(F.col("text"), F.lit("")))
-    order = Window.partitionBy(F.col("doc_id"), sha).orderBy(F.desc(longest))
-    return rest.join(kept, same, "left_semi").withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
+    marked = rest.withColumns({"__own": F.col("doc_id").cast("long"), "__text": sha, "__size": longest})
+    # of the rows of one id and text the longest stays; each task hands on one of them, so that no such group is gathered
+    best = marked.join(kept, same, "left_semi").groupBy("__own", "__text").agg(F.max_by(F.struct(*(rest[c] for c in rest.columns)), F.struct("__size", "text")).alias("__row"))
+    return best.select("__row.*")

@@ -1,6 +1,6 @@
 from pathlib import Path
 
-from folioflow.llm.common import checkpointed, forget_written, hashed_sample, shared_dir, without, written
+from folioflow.llm.common import checkpointed, connected_components, forget_written, hashed_sample, shared_dir, without, written
 
 
 def test_written_tables_go_when_forgotten(spark):
@@ -28,3 +28,13 @@ def test_without(spark):
 
 def test_checkpoint_is_in_the_shared_folder(spark):
     assert checkpointed(spark.range(3)).count() == 3
+
+
+def test_components_with_a_hub(spark):
+    """Nine links in ten are those of one node."""
+    edges = [(1000 + i, 7) for i in range(900)] + [(i, i + 1) for i in range(100, 160)] + [(300, 301), (301, 1000), (5, 5)]
+    want = {n: 7 for n in [7, 300, 301, *range(1000, 1900)]} | {n: 100 for n in range(100, 161)}
+    del want[7], want[100]
+    for least_hub in (10, 100_000):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), least_hub=least_hub, most_hubs=300).collect()}
+        assert {n: c for n, c in got.items() if n != c} == want

@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
-from folioflow.llm.exact_dedup import ExtendibleDirectory, exact_duplicates
+from folioflow.llm.exact_dedup import ExtendibleDirectory, exact_duplicates, without_duplicates
 
 from .edge import edge_docs, edge_rows, empty_docs
 
@@ -63,10 +64,29 @@ def test_empty(spark):
 
 @given(st.dictionaries(st.integers(0, 255), st.integers(1, 50)), st.integers(1, 60), st.integers(1, 7))
 def test_directory(load, capacity, owners):
-    d = ExtendibleDirectory(load, capacity, 8)
+    d = ExtendibleDirectory(np.array(list(load), dtype=np.int64), np.array(list(load.values()), dtype=np.int64), capacity, 8)
     assert len(d.slots) == 1 << d.depth and sum(d.loads) == sum(load.values())
     for (depth, _), n in zip(d.buckets, d.loads, strict=True):
         assert n <= capacity or depth == 8
     of = d.owners(owners)
     assert of == sorted(of) and max(of) < owners
     assert list(d.slots) == sorted(d.slots)  # key ranges
+
+
+def test_rows_without_an_id_that_are_equal(spark):
+    """Nine rows in ten are one text without an id: one of them stays, and one of each other text."""
+    rows = [(None, "same  text" if i % 2 else "same text", "", "", 0, "", "", "") for i in range(900)]
+    rows += [(None if i % 3 else i, f"other {i % 40}", "", "", 0, "", "", "") for i in range(100)]
+    docs = spark.createDataFrame(rows, edge_docs(spark).schema).repartition(7)
+    got = without_duplicates(docs)
+    assert got.schema == docs.schema
+    texts = [r.text for r in got.collect()]
+    assert sorted(texts) == sorted({"same  text", *(f"other {i}" for i in range(40))})
+
+
+def test_many_buckets(spark):
+    rows = [(i, f"text {i % 700}", "", "", 0, "", "", "") for i in range(2000)]
+    docs = spark.createDataFrame(rows, edge_docs(spark).schema)
+    few, many = exact_duplicates(docs, most_buckets=2), exact_duplicates(docs, capacity=1)
+    assert by_null((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in few.collect()) == by_null(brute(rows))
+    assert not few.exceptAll(many).count()
