@@ -7,7 +7,8 @@ would hold 1/256 of all fingerprints each; blocks hold 1/2**32. In a posting the
 tallied, pairs under the minimum fall away, and the bits of the rest are counted.
 
 Equal fingerprints enter the index once. A posting over `posting_rows` is cut into chunks and every pair of chunks is a
-task of its own; a task emits only a spanning forest of the links that it found, never all pairs.
+task of its own, which compares no further once all of its rows hang together (a family of near copies does after a few rows); a
+task emits only a spanning forest of the links that it found, never all pairs.
 
 Results: null or blank texts have fingerprint zero and link like any other; repeated rows each get a row; rows with a
 null doc_id get a component, but don't name one. Other columns are ignored. An empty table gives no rows.
@@ -76,6 +77,8 @@ def _forest(fps: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarra
         met = np.unique(np.append(label[close], label[at]))
         if len(met) > 1:
             label[np.isin(label, met)] = met[0]
+            if not (label != label[0]).any():
+                break
     for part in np.unique(label):
         members = np.flatnonzero(label == part)
         if len(members) > 1:
