@@ -1,8 +1,14 @@
 import base64
+import gzip
 import hashlib
+import io
 import time
+import zlib
 
-from folioflow.llm.warc import derivatives, derived, get, page_responses, page_text, parsed, read_files, response, serialised, write_files
+import pyarrow as pa
+import zstandard
+
+from folioflow.llm.warc import _whole, decompressed, derivatives, derived, get, page_responses, page_text, parsed, read_files, records, response, serialised, write_files
 
 SCHEMA = "page_id long, url string, html string, record string, headers string"
 PAGES = [
@@ -46,9 +52,10 @@ def test_links_between_records(spark):
     got = derivatives(page_responses(pages(spark))).collect()
     assert len(got) == 2 * len(PAGES)
     made = {}
-    for i, url, html in PAGES:
-        (headers, block), = parsed(response(str(i), (url or "").replace("\n", " "), (html or "").encode(), "2024-01-01T00:00:00Z"))
-        body = (html or "").encode()
+    bodies = {sha1((html or "").encode()): (html or "").encode() for _, _, html in PAGES}
+    for r in page_responses(pages(spark)).collect():
+        (headers, block), = parsed(bytes(r.record))
+        body = bodies[get(headers, "WARC-Payload-Digest")]
         assert block.endswith(body) and get(headers, "WARC-Payload-Digest") == sha1(body) and get(headers, "WARC-Block-Digest") == sha1(block)
         made[get(headers, "WARC-Record-ID"), get(headers, "WARC-Payload-Digest")] = headers
     ids = {r.record_id for r in got}
@@ -89,8 +96,75 @@ def test_cut_and_foreign_records():
     assert [get(h, "WARC-Type") for h, _ in parsed(raw)] == ["warcinfo", "response"]
     assert [get(h, "WARC-Type") for h, _ in parsed(raw[:-20])] == ["warcinfo"]
     assert list(parsed(b"WARC/1.1\r\nContent-Length: x\r\n\r\n")) == list(parsed(b"")) == []
-    (_, text) = derived([("WARC-Type", "response"), ("Content-Type", "image/png")], b"\xff\x00<p>a")
-    assert text[1].endswith(b"a")
+    (headers, own), = derived([("WARC-Type", "response"), ("Content-Type", "image/png")], b"\xff\x00<p>a")
+    assert get(headers, "WARC-Type") == "metadata" and not get(headers, "WARC-Concurrent-To") and b"note-conversion: none of image/png" in own
+
+
+def http(body, *headers):
+    return [("WARC-Type", "response"), ("WARC-Record-ID", "<r>"), ("Content-Type", "application/http; msgtype=response")], ("HTTP/1.1 200 OK\r\n" + "".join(f"{h}\r\n" for h in headers) + "\r\n").encode() + body
+
+
+def chunked(body, size=7):
+    return b"".join(b"%x;a=b\r\n%s\r\n" % (len(body[i : i + size]), body[i : i + size]) for i in range(0, len(body), size)) + b"0\r\nX: y\r\n\r\n"
+
+
+def test_bodies_are_taken_out_of_their_codings():
+    page = "<title>Ü</title><p>hello wörld".encode()
+    deflated = zlib.compressobj(6, zlib.DEFLATED, -15)
+    codings = {"gzip": gzip.compress(page), "x-gzip": gzip.compress(page[:9]) + gzip.compress(page[9:]), "deflate": zlib.compress(page), "DEFLATE": deflated.compress(page) + deflated.flush(), "zstd": zstandard.compress(page), "identity": page}
+    for coding, body in codings.items():
+        for sent, more in ((body, []), (chunked(body), ["Transfer-Encoding: chunked"])):
+            headers, block = http(sent, "Content-Type: text/html", f"Content-Encoding: {coding}", *more)
+            (_, meta), (_, text) = derived(headers, block)
+            assert text == "hello wörld".encode() and "title: Ü".encode() in meta and b"note-" not in meta, coding
+    headers, block = http(page, "Content-Type: text/html", "Transfer-Encoding: chunked", "Content-Encoding: gzip")
+    (_, meta), (_, text) = derived(headers, block)  # says what it isn't
+    assert text == "hello wörld".encode() and b"note-transfer-encoding" in meta and b"note-content-encoding" in meta
+    for coding, body in (("br", b"\x0b\x02\x80"), ("gzip", gzip.compress(page)[:-12]), ("deflate", b"no"), ("zstd", b"no")):
+        headers, block = http(body, "Content-Type: text/html", f"Content-Encoding: {coding}")
+        (own, meta), = derived(headers, block)
+        assert get(own, "WARC-Type") == "metadata" and f"note-content-encoding: {coding} could not be undone".encode() in meta
+    assert decompressed(gzip.compress(b"0" * 5_000_000), "gzip", 4_000_000) is None and decompressed(zlib.compress(b"0" * 5_000_000), "deflate", 4_000_000) is None
+
+
+def test_only_text_is_converted():
+    for kind, kept in (("text/html", True), ("text/plain", True), ("application/json", True), ("image/svg+xml", True), ("image/png", False), ("application/pdf; x=1", False), ("", True)):
+        headers, block = http(b"a", *([f"Content-Type: {kind}"] if kind else []))
+        assert len(derived(headers, block)) == 1 + kept, kind
+    headers, block = http('<meta charset="latin-1"><p>\u00e9'.encode("latin-1"), "Content-Type: text/html")
+    assert derived(headers, block)[1][1] == "é".encode()
+
+
+def test_damaged_records_are_passed_over_and_told():
+    one, two, three = (response(str(i), f"http://{i}", b"<p>%d" % i, "d") for i in (1, 2, 3))
+    broken = two.replace(b"Content-Length: ", b"Content-Length: x", 1) if two.index(b"Content-Length: ") < two.index(b"HTTP/1.1") else two
+    for middle in (broken, two.replace(b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 99999999\r\n"), two.replace(b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 3\r\n"), b"rubbish\r\n" * 50, two[: two.index(b"WARC-Payload")], two[:-30] + b"\r\n"):
+        got = list(records(io.BytesIO(one + middle + three)))
+        assert [get(h, "WARC-Target-URI") for _, h, _ in got] == ["http://1", "http://3"] and got[0][0] == 0 < got[1][0]
+    got = list(records(io.BytesIO(one + b"rubbish" * 9)))
+    assert [s for s, *_ in got] == [0, 63] and got[1][1:] == ([], b"")
+
+
+def test_files_are_read_as_streams(spark, tmp_path, monkeypatch):
+    """A huge record, small ones, a damaged member, and a file that isn't compressed."""
+    raws = [response(str(i), f"http://{i}", b"<p>%d " % i * (3_000_000 if i == 1 else 1), "d") for i in range(6)]
+    members = [gzip.compress(r) for r in raws]
+    members[3] = members[3][:40] + b"\x00\xff" * 20 + members[3][80:]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "b.warc").write_bytes(b"".join(raws))
+    got = read_files(spark, f"file://{tmp_path}").collect()
+    uris = lambda name: [get(next(parsed(bytes(r.record)))[0], "WARC-Target-URI") for r in got if r.path.endswith(name) and r.record is not None]
+    assert uris("b.warc") == [f"http://{i}" for i in range(6)] and uris("a.warc.gz") == [f"http://{i}" for i in (0, 1, 2, 4, 5)]
+    assert all(bytes(r.record) in raws for r in got if r.record is not None)
+    whole = list(_whole([pa.RecordBatch.from_pydict({"path": ["p"], "content": [b"".join(members)]})]))
+    assert sum(b.num_rows - b.column("record").null_count for b in whole) == 5
+
+
+def test_repeated_pages_have_ids_of_their_own(spark):
+    rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (1, "u", "<p>y"), (None, None, None), (None, None, None), (2, "u", "<p>x")]
+    for most in (0, 10):
+        got = derivatives(page_responses(pages(spark, rows), most_broadcast=most)).collect()
+        assert len({r.record_id for r in got}) == len(got) == 12 and len({r.refers_to for r in got}) == 6
 
 
 def test_reading_is_linear():
