@@ -184,9 +184,8 @@ def disclosing_terms(docs: DataFrame, marked: DataFrame, *, disclosure: float =
 
 
 def personal_data(docs: DataFrame, *, disclosure: float = 0.8, support: int = 3) -> DataFrame:
-    """One row per document: doc_id, and spans array<struct<kind, start, end, put>> by kind (email, ip, card, phone, term), then start.
-
-    put is what stands in the place of the span in a sanitised text.
+    """One row per document: doc_id, spans array<struct<kind, start, end, put>> by kind (email, ip, card, phone, term), then start, and
+    sanitised: the text with put in the place of each span, null where there is none.
     """
     marked = written(identifiers(docs), "identifiers")
     told = disclosing_terms(docs, marked, disclosure=disclosure, support=support)
@@ -199,7 +198,8 @@ def personal_data(docs: DataFrame, *, disclosure: float = 0.8, support: int = 3)
 
     base = [named(k, F.col(k), lambda s, k=k: F.lit(f"[{k}]")) for k in PATTERNS]
     of_terms = F.coalesce(F.col("terms"), F.array().cast("array<struct<start bigint, end bigint, put string>>"))
-    return marked.join(terms, "rid", "left").select("doc_id", F.concat(*base, named("term", of_terms, lambda s: s["put"])).alias("spans"))
+    rows = marked.join(terms, "rid", "left").select("doc_id", "t", F.concat(*base, named("term", of_terms, lambda s: s["put"])).alias("spans"))
+    return rows.select("doc_id", "spans", F.when(F.size("spans") > 0, sanitised(F.col("t"), F.col("spans"))).alias("sanitised"))
 
 
 def span_text(spans: Column) -> Column:

@@ -62,7 +62,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in (*PATTERNS, "term")]
     base = span_text(F.filter("spans", lambda s: s["kind"] != "term"))
-    return spans.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), "sanitised")
 
 
 def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm.personal_data import PATTERNS, found, identifiers, personal_data, rare_words, running_sums, sanitised, span_text, term_counts
+from folioflow.llm.personal_data import PATTERNS, disclosing_terms, found, identifiers, personal_data, rare_words, running_sums, span_text, term_counts
 
 from .edge import edge_docs, edge_rows, empty_docs, words
 
@@ -80,7 +80,7 @@ def test_terms_that_disclose(spark):
             text = "common zweites words about u%d@x.example " % i + text
         rows.append((i, text))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = personal_data(docs).join(docs, "doc_id").select("doc_id", "text", "spans", sanitised(F.col("text"), F.col("spans")).alias("clean"), span_text(F.col("spans")).alias("s")).collect()
+    got = personal_data(docs).join(docs, "doc_id").select("doc_id", "text", "spans", F.coalesce("sanitised", "text").alias("clean"), span_text(F.col("spans")).alias("s")).collect()
     for r in got:
         terms = {r.text[s.start : s.end] for s in r.spans if s.kind == "term"}
         assert "common" not in terms
@@ -124,6 +124,64 @@ def test_rare_words_by_broadcast_and_by_shuffle(spark, most):
 def test_clashing_columns_and_repeated_rows(spark):
     got = personal_data(edge_docs(spark)).collect()
     assert len(got) == len(edge_rows())
+    assert all((r.sanitised is None) == (not r.spans) for r in got)
+
+
+def clean_by_hand(text, spans):
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s.start, -s.end)):
+        if s.start >= at:
+            out += [text[at : s.start], s.put]
+            at = s.end
+    return "".join([*out, text[at:]])
+
+
+def brute_disclosing(docs, disclosure, support):
+    """{doc_id: {(start, end, put)}} straight from the definition. docs: [(doc_id, text)], no two with one id."""
+    from math import log2
+
+    term = re.compile(r"(?<![^\W_]|[@_%+.-])[^\W\d_]{3,}(?![0-9@_%+-]|[^\W_]|\.[^\W_])")
+    held, df = {}, {}
+    for d, text in docs:
+        found = [(k, text[a:b]) for k, a, b in brute(text)]
+        held[d] = {(k, v.lower() if k == "email" else re.sub("[^0-9]", "", v)) for k, v in found}
+        words = {w.lower() for w in term.findall(text)}
+        for t in words | {w[:4] + "*" for w in words}:
+            df.setdefault(t, set()).add(d)
+    of = {}
+    for d, entities in held.items():
+        for e in entities:
+            of.setdefault(e, set()).add(d)
+    n, out = len(docs), {}
+    told = {(e, t) for e, ds in of.items() if support <= len(ds) < n for t, ts in df.items() if len(ds & ts) >= support and log2(n * len(ds & ts) / (len(ts) * len(ds))) >= disclosure * log2(n / len(ds)) - 1e-12}
+    for d, text in docs:
+        for m in term.finditer(text):
+            puts = [m[0][:4].lower() + "…" if (e, m[0][:4].lower() + "*") not in told else "" for e in held[d] if (e, m[0].lower()) in told]
+            if puts:
+                out.setdefault(d, set()).add((m.start(), m.end(), min(puts)))
+    return out
+
+
+@pytest.mark.parametrize(("disclosure", "support", "most"), [(0.8, 3, 100_000), (0.5, 2, 100_000), (0.8, 1, 5)])
+def test_disclosing_terms_against_the_definition(spark, disclosure, support, most):
+    rng = random.Random(support)
+    names = ["zweibrueck", "zweigert", "marlow", "marlin", "quill"]
+    rows = []
+    for i in range(300):
+        text = words(rng, 12).lower().replace("é", "e")
+        if i % 4 == 0:
+            k = rng.randrange(4)
+            text = f"{text} {names[k]} at p{k}@x.example {rng.choice(names) if rng.random() < 0.3 else ''} or 10.0.0.{k % 2}"
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = identifiers(docs).cache()
+    of = {r.rid: r.doc_id for r in marked.select("rid", "doc_id").collect()}
+    got = {}
+    for r in disclosing_terms(docs, marked, disclosure=disclosure, support=support, most_broadcast=most).collect():
+        got.setdefault(of[r.rid], set()).add((r.start, r.end, r.put))
+    assert got == brute_disclosing(rows, disclosure, support) and got
+    for r in personal_data(docs, disclosure=disclosure, support=support).join(docs, "doc_id").collect():
+        assert r.sanitised == (clean_by_hand(r.text, r.spans) if r.spans else None)
 
 
 def test_empty(spark):
