@@ -5,11 +5,12 @@ base36, ...), and three tests ask whether its symbols could be uniform and indep
 the number of runs above and below the middle of the alphabet, and the serial correlation. Fisher's method makes one
 number of the three: p, large for random tokens and small for words.
 
-Short words pass such tests by chance, so p is held against ordinary text of the same length: in each stratum of lengths
-the words of every document, run together and cut into pieces of that length, give the distribution of p for text (what
-is left at a document's end and is shorter than the piece gives none). The share of text with as large a p is
-the false-discovery p-value of a token; Benjamini and Hochberg's rule picks the tokens of each stratum. Both
-distributions are kept in bins, so the driver sees a few hundred counts whatever the corpus.
+Short words pass such tests by chance, so p is held against ordinary text of the same encoding and length: for each stratum of
+lengths the words of every document that are too short to be tokens are run together and cut into pieces of that length, and
+each piece, in the encoding that it is in, counts towards the distribution of p for its class (what is left at a document's end
+and is shorter than the piece gives none). A class with few pieces of text takes those of all encodings of its length. The
+share of text with as large a p is the false-discovery p-value of a token; Benjamini and Hochberg's rule picks the tokens
+of each class. Both distributions are kept in bins, so the driver sees some thousand counts whatever the corpus.
 
 Results: null texts hold nothing; repeated rows each get a row and count as texts of the corpus; a row with a null doc_id is
 read like any other. Other columns are ignored. An empty table gives no rows.
@@ -21,6 +22,7 @@ import math
 import re
 import string
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ ENCODINGS = {
     "any": _UPPER + _LOWER + _DIGITS + "+/-_",
 }
 _PLACES = {k: {c: i for i, c in enumerate(a)} for k, a in ENCODINGS.items()}
+#: A class is an encoding and a stratum.
+N_CLASSES = len(ENCODINGS) * len(STRATA)
 
 
 def encoding_of(token: str) -> str:
@@ -91,6 +95,10 @@ def stratum(length: int) -> int:
     return sum(length >= s for s in STRATA) - 1
 
 
+def class_of(token: str, encoding: str) -> int:
+    return list(ENCODINGS).index(encoding) * len(STRATA) + stratum(len(token))
+
+
 def bin_of(p: float) -> int:
     """Finer near 1: by -log10 p, up to 20, the likeliest random last."""
     return BINS - 1 - min(BINS - 1, int(10 * -math.log10(max(p, 1e-300))))
@@ -109,7 +117,7 @@ def base_spans(text: str, low: bytes) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, raw: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, bin) of tokens, without the spans that are taken: each part between them is a token of its own."""
+    """(start, end, class, bin) of tokens, without the spans that are taken: each part between them is a token of its own."""
     if not _LONG.search(raw):
         return []
     gone: list[list[int]] = []  # taken spans, joined where they overlap
@@ -132,17 +140,26 @@ def candidates(text: str, raw: bytes, taken: list[tuple[int, int, int]]) -> list
                 continue
             start = at + text[at:to].index(body)
             encoding = encoding_of(body)
-            if encoding != "decimal":
-                out.append((start, start + len(body), stratum(len(body)), bin_of(randomness(body, encoding))))
+            out.append((start, start + len(body), class_of(body, encoding), bin_of(randomness(body, encoding))))
     return out
 
 
-_NO_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127)
-_LOWERED = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
+_SYMBOLS = (_UPPER + _LOWER + _DIGITS + "+/-_").encode()
+_NO_SYMBOLS = bytes(b for b in range(256) if b not in _SYMBOLS)
+_RUN = re.compile(rb"[A-Za-z0-9+/_-]{20,}")
 _CHUNK = 1 << 18
-_UNIFORM = {n: np.array([_chi2_tail(c * 26 / n - n, 25) for c in range(n * n + 1)]) for n in STRATA}
+#: For each byte the encodings that have it, as bits, and its place in each.
+_HAVE = np.array([sum((chr(b) in a) << k for k, a in enumerate(ENCODINGS.values())) for b in range(256)], np.uint16)
+_PLACE = np.array([[p.get(chr(b), 0) for b in range(256)] for p in _PLACES.values()], np.int64)
+
+
+@cache
+def _uniform_table(n: int, size: int) -> np.ndarray:
+    """p of the chi-squared test by the sum of the squares of the counts."""
+    return np.array([_chi2_tail(c * size / n - n, size - 1) for c in range(n * n + 1)])
 
 
+@cache
 def _runs_table(n: int) -> np.ndarray:
     """p of the runs test by the number of high symbols and of changes."""
     out = np.full((n + 1, n), 2.0 ** (1 - n))
@@ -153,16 +170,13 @@ def _runs_table(n: int) -> np.ndarray:
     return out
 
 
-_RUNS = {n: _runs_table(n) for n in STRATA}
-
-
-def _bins(x: np.ndarray) -> np.ndarray:
-    """bin_of(randomness()) of each row of letters in lower case (places in the alphabet)."""
+def _bins(x: np.ndarray, size: int) -> np.ndarray:
+    """bin_of(randomness()) of each row of places in an alphabet of that size."""
     m, n = x.shape
-    counts = np.bincount((np.arange(m)[:, None] * 26 + x).ravel(), minlength=26 * m).reshape(m, 26)
-    uniform = _UNIFORM[n][np.einsum("ij,ij->i", counts, counts)]
-    high = x >= 13
-    runs = _RUNS[n][high.sum(1), (high[:, 1:] != high[:, :-1]).sum(1)]
+    counts = np.bincount((np.arange(m)[:, None] * size + x).ravel(), minlength=size * m).reshape(m, size)
+    uniform = _uniform_table(n, size)[np.einsum("ij,ij->i", counts, counts)]
+    high = 2 * x >= size
+    runs = _runs_table(n)[high.sum(1), (high[:, 1:] != high[:, :-1]).sum(1)]
     d = x - x.mean(1, keepdims=True)
     own = np.einsum("ij,ij->i", d, d)
     z = np.einsum("ij,ij->i", d[:, 1:], d[:, :-1]) / np.where(own > 0, own, 1)
@@ -170,48 +184,50 @@ def _bins(x: np.ndarray) -> np.ndarray:
     serial[own == 0] = 0.0
     half = -sum(np.log(np.maximum(p, 1e-300)) for p in (uniform, runs, serial))
     p = np.exp(-half) * (1 + half + half * half / 2)
-    out = BINS - 1 - np.minimum(BINS - 1, (10 * -np.log10(np.maximum(p, 1e-300))).astype(int))
-    for i in np.flatnonzero(x.max(1) < 6):  # read as hex
-        body = "".join(_LOWER[c] for c in x[i])
-        out[i] = bin_of(randomness(body, encoding_of(body)))
-    return out
+    return BINS - 1 - np.minimum(BINS - 1, (10 * -np.log10(np.maximum(p, 1e-300))).astype(int))
 
 
 def ordinary(texts: list[bytes]) -> np.ndarray:
-    """Counts by (stratum, bin) of the letters of each text, run together and cut into pieces of each stratum's length."""
-    out = np.zeros((len(STRATA), BINS), np.int64)
-    letters = [t.translate(_LOWERED, _NO_LETTERS) for t in texts]
+    """Counts by (class, bin) of the symbols of each text's words of under 20 characters, run together and cut into pieces of each
+    stratum's length, each piece in its own encoding."""
+    out = np.zeros((N_CLASSES, BINS), np.int64)
+    symbols = [(_RUN.sub(b"", t) if _LONG.search(t) else t).translate(None, _NO_SYMBOLS) for t in texts]
     for k, n in enumerate(STRATA):
         pending, size = [], 0
-        for own in letters:
+        for own in symbols:
             whole = len(own) // n * n
             for at in range(0, whole, _CHUNK // n * n):
                 pending.append(own[at : min(whole, at + _CHUNK // n * n)])
                 size += len(pending[-1])
                 if size >= _CHUNK:
-                    out[k] += _binned(pending, n)
+                    _add_pieces(pending, n, k, out)
                     pending, size = [], 0
         if size:
-            out[k] += _binned(pending, n)
+            _add_pieces(pending, n, k, out)
     return out
 
 
-def _binned(pieces: list[bytes], n: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, n).astype(np.int64) - ord("a")
-    return np.bincount(_bins(x), minlength=BINS)
+def _add_pieces(pieces: list[bytes], n: int, k: int, out: np.ndarray) -> None:
+    x = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, n)
+    have = np.bitwise_and.reduce(_HAVE[x], axis=1)
+    narrowest = np.bitwise_and(have, -have.astype(np.int32))
+    for e, alphabet in enumerate(ENCODINGS.values()):
+        rows = x[narrowest == 1 << e]
+        if len(rows):
+            out[e * len(STRATA) + k] += np.bincount(_bins(_PLACE[e][rows], len(alphabet)), minlength=BINS)
 
 
 _SCANNED = pa.schema(
     [
         ("doc_id", pa.int64()),
         ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))),
-        ("tokens", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32())]))),
-        ("text", pa.list_(pa.struct([("stratum", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))),
+        ("tokens", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.int32()), ("bin", pa.int32())]))),
+        ("text", pa.list_(pa.struct([("class", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))),
     ]
 )
 _SCHEMA = (
     "doc_id long, base array<struct<start bigint, kind int, end bigint>>, "
-    "tokens array<struct<start bigint, end bigint, stratum int, bin int>>, text array<struct<stratum int, bin int, n bigint>>"
+    "tokens array<struct<start bigint, end bigint, class int, bin int>>, text array<struct<class int, bin int, n bigint>>"
 )
 
 
@@ -231,12 +247,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t.type) for c, t in zip(columns, list(_SCANNED)[1:], strict=True))], schema=_SCANNED)
 
 
-def least_bins(tokens: dict[tuple[int, int], int], text: dict[tuple[int, int], int], rate: float) -> list[int]:
-    """For each stratum the least bin whose tokens are discoveries at that false-discovery rate; BINS if none are."""
+def least_bins(tokens: dict[tuple[int, int], int], text: dict[tuple[int, int], int], rate: float, least_null: int = 2000) -> list[int]:
+    """For each class the least bin whose tokens are discoveries at that false-discovery rate; BINS if none are."""
+    nulls = np.zeros((N_CLASSES, BINS), np.int64)
+    for (k, b), n in text.items():
+        nulls[k, b] = n
+    of_length = nulls.reshape(len(ENCODINGS), len(STRATA), BINS).sum(0)
     out = []
-    for k in range(len(STRATA)):
+    for k in range(N_CLASSES):
         own = np.array([tokens.get((k, b), 0) for b in range(BINS)])
-        null = np.array([text.get((k, b), 0) for b in range(BINS)])
+        null = nulls[k] if nulls[k].sum() >= least_null else of_length[k % len(STRATA)]
         p = (np.cumsum(null[::-1])[::-1] + 1) / (null.sum() + 1)
         found = np.cumsum(own[::-1])[::-1]
         fine = np.flatnonzero((found > 0) & (p * own.sum() <= rate * found))
@@ -251,11 +271,11 @@ def secrets(docs: DataFrame, *, rate: float = 0.01) -> DataFrame:
     scanned = written(rows.mapInArrow(_scan, _SCHEMA), "secrets")
 
     def counts(column: str, n: Column) -> dict[tuple[int, int], int]:
-        grouped = scanned.select(F.explode(column).alias("x")).groupBy("x.stratum", "x.bin").agg(F.sum(n).alias("n"))
-        return {(r.stratum, r.bin): r["n"] for r in grouped.collect()}  # at most len(STRATA) * BINS rows
+        grouped = scanned.select(F.explode(column).alias("x")).groupBy(F.col("x.class").alias("k"), "x.bin").agg(F.sum(n).alias("n"))
+        return {(r.k, r.bin): r["n"] for r in grouped.collect()}  # at most N_CLASSES * BINS rows
 
     least = least_bins(counts("tokens", F.lit(1)), counts("text", F.col("x.n")), rate)
-    picked = F.filter("tokens", lambda t: t["bin"] >= F.element_at(F.array(*map(F.lit, least)), t["stratum"] + 1))
+    picked = F.filter("tokens", lambda t: t["bin"] >= F.element_at(F.array(*map(F.lit, least)), t["class"] + 1))
     more = F.transform(picked, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
     return scanned.select("doc_id", F.sort_array(F.concat("base", more)).alias("spans"))
 

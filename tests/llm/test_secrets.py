@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from folioflow.llm.secrets import BINS, KINDS, STRATA, base_spans, bin_of, candidates, encoding_of, least_bins, ordinary, randomness, secrets, span_text, stratum
+from folioflow.llm.secrets import BINS, KINDS, N_CLASSES, STRATA, base_spans, bin_of, candidates, class_of, encoding_of, least_bins, ordinary, randomness, secrets, span_text, stratum
 
 from .edge import edge_docs, edge_rows, empty_docs, words
 
@@ -63,16 +63,18 @@ def test_parts_beside_a_pattern_are_tested():
         assert [text[a:b] for a, b, *_ in candidates(text, raw, base_spans(text, raw.lower()))] == want
 
 
-def test_all_letters_of_all_texts_are_in_the_null():
+def test_all_short_words_of_all_texts_are_in_the_null_of_their_encoding():
     rng = random.Random(8)
-    texts = ["", "é中 1", "a" * 300, "fade " * 70, words(rng, 40), words(rng, 3000), "Ab1" * 200_000]
-    want = np.zeros((len(STRATA), BINS), int)
+    some = lambda alphabet, n: " ".join("".join(rng.choices(alphabet, k=rng.randint(1, 19))) for _ in range(n))
+    texts = ["", "é中 1", "a " * 300, "fade " * 70, words(rng, 40), words(rng, 3000), "Ab1 " * 200_000, some("0123456789", 99), some("ABCDEF01", 99), some("aB3+/", 99), some("aB3-_", 99), some("0123456789ABCDEF", 99), some("0123456789XYZ", 99), some("ABYZ", 99), "x" * 50 + " Y" * 50]
+    want = np.zeros((N_CLASSES, BINS), int)
     for t in texts:
-        letters = "".join(re.findall("[A-Za-z]+", t)).lower()
-        for k, n in enumerate(STRATA):
-            for at in range(0, len(letters) - n + 1, n):
-                piece = letters[at : at + n]
-                want[k, bin_of(randomness(piece, encoding_of(piece)))] += 1
+        symbols = "".join(w for w in re.findall("[A-Za-z0-9+/_-]+", t) if len(w) < 20)
+        for n in STRATA:
+            for at in range(0, len(symbols) - n + 1, n):
+                piece = symbols[at : at + n]
+                want[class_of(piece, encoding_of(piece)), bin_of(randomness(piece, encoding_of(piece)))] += 1
+    assert len({k // len(STRATA) for k in np.flatnonzero(want.sum(1))}) >= 9
     got = ordinary([t.encode() for t in texts])
     assert got.sum(1).tolist() == want.sum(1).tolist()
     assert np.abs(np.cumsum(got - want, 1)).max() <= 2  # rounding at a bin's edge
@@ -94,12 +96,13 @@ def test_bins_and_strata():
     assert [stratum(n) for n in (20, 23, 24, 500)] == [0, 0, 1, len(STRATA) - 1]
 
 
-def test_rate_is_per_length():
-    tokens = {(0, BINS - 1): 100, (6, BINS - 1): 100}
-    text = {(0, BINS - 1): 500, (0, 10): 500, (6, 10): 1_000_000}
+def test_rate_is_per_class():
+    tokens = {(0, BINS - 1): 100, (6, BINS - 1): 100, (7, BINS - 1): 100, (13, BINS - 1): 100}
+    text = {(0, BINS - 1): 5000, (0, 10): 5000, (6, 10): 1_000_000, (7, 10): 1_000_000, (13, 10): 50}
     least = least_bins(tokens, text, 0.01)
-    assert least[0] == BINS and least[6] < BINS
-    assert least_bins({}, {}, 0.01) == [BINS] * len(STRATA)
+    assert least[0] == BINS and least[6] < BINS and least[7] < BINS and least[13] < BINS  # the last by all text of its length
+    assert least_bins({(7, BINS - 1): 100}, {(0, BINS - 1): 5000, (7, 10): 50}, 0.01)[7] == BINS
+    assert least_bins({}, {}, 0.01) == [BINS] * N_CLASSES
 
 
 def test_span_text(spark):
@@ -109,5 +112,6 @@ def test_span_text(spark):
 
 
 def test_rows(spark):
-    assert secrets(edge_docs(spark)).count() == len(edge_rows())
+    got = sorted((r.doc_id is None, r.doc_id, [(s.start, s.kind, s.end) for s in r.spans]) for r in secrets(edge_docs(spark)).collect())
+    assert got == sorted((r[0] is None, r[0], brute(r[1])) for r in edge_rows())  # too little text for any other
     assert secrets(empty_docs(spark)).collect() == []
