@@ -1,21 +1,21 @@
 """Language-model scores: the marginal probability of a document over all segmentations of its words.
 
-The vocabulary is that of an existing subword tokenizer, its scores (ranks) are the starting weights. A document is the
-sequence of its words, each led by a word mark, and one end. No piece crosses a word mark, so the forward recursion over
+The vocabulary is that of an existing subword tokenizer. Its scores are ranks, of which p0 is made (in proportion to 1 / (rank + 1)).
+A document is the sequence of its words, each led by a word mark, and one end. No piece crosses a word mark, so the forward recursion over
 the document factors into one over each word:
 
     alpha[j] = logsumexp over pieces x[i:j] of alpha[i] + log p(piece)
 
-Two kinds of arcs lie over a word: subword pieces, and one arc for the whole word where the training rows have it.
-The words of the training rows re-estimate the pieces by expectation-maximisation over the lattice (each distinct word
-counts once, since pieces serve words that are rare), and give whole words their discounted count
+Two kinds of arcs lie over a word: subword pieces, and one arc for the whole word where the training rows have it. A piece weighs
+keep * p0 + (1 - keep) * its share of the expected counts of the distinct words of the training rows (each once, since pieces serve
+words that are rare) over the lattice, in em_rounds rounds; with none it weighs p0. Whole words have their discounted count
 
     P(word) = max(c - d, 0) / N + d * V / N * sum over segmentations of the product of p(piece),   d = n1 / (n1 + 2 n2)
 
 which sums to one over all words. Characters without a piece use the vocabulary's byte pieces.
 
-Words are counted over all rows. The `head_words` commonest (of at most `head_bytes` bytes, so the size is bounded) are
-sent to all tasks; occurrences of all others meet their counts in a shuffle by word.
+Words are counted over all rows. The `head_words` commonest are sent to all tasks (those of over `head_bytes` bytes as a hash, so
+the size is bounded); occurrences of all others meet their counts in a shuffle by word.
 
 Results: null or blank texts score as the end alone; repeated rows are scored each; a row with a null doc_id trains.
 With no training rows the pieces keep their starting weights and base_score is over N = V = 0. Other columns are
@@ -31,6 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,10 +115,9 @@ class Pieces:
         p = np.array(weights)
         return cls(names, byte_ids, np.log(p / p.sum()))
 
-    def reweighted(self, counts: np.ndarray) -> Pieces:
+    def reweighted(self, p: np.ndarray) -> Pieces:
         out = object.__new__(Pieces)
         out.ids, out.table, out.bytes, out.n, out.longest = self.ids, self.table, self.bytes, self.n, self.longest
-        p = counts + 0.01
         out.log_p = np.append(np.log(p / p.sum()), -np.inf)
         return out
 
@@ -278,8 +278,8 @@ def _with_lattice(pieces: Pieces):
 class Model:
     """What turns a word's count and its lattice into its probability."""
 
-    def __init__(self, n: int, v: int, n1: int, n2: int):
-        self.n, self.v = n, v
+    def __init__(self, n: int, v: int, n1: int, n2: int, ends: int = 0, whole_words: bool = True):
+        self.n, self.v, self.ends, self.whole_words = n, v, ends, whole_words
         self.d = n1 / (n1 + 2 * n2) if n1 else 0.5
 
     def base(self, c: np.ndarray) -> np.ndarray:
@@ -289,6 +289,8 @@ class Model:
         """log10; the lattice has no arc for the end but that of the training rows."""
         if not self.n:
             return np.where(is_end, 0.0, log_lattice / math.log(10))
+        if not self.whole_words:
+            return np.where(is_end, math.log10(self.ends / self.n), math.log10(1 - self.ends / self.n) + log_lattice / math.log(10))
         whole = np.maximum(c - np.where(is_end, 0, self.d), 0) / self.n
         parts = np.where(is_end, -np.inf, math.log(self.d * self.v / self.n) + log_lattice)
         with np.errstate(divide="ignore"):
@@ -300,12 +302,30 @@ _OCCURRENCES = pa.schema(
 )
 
 
-def _occurrences(head):
+def _head_key(word: bytes, head_bytes: int) -> bytes:
+    """The word, or a hash led by a space, which no word has."""
+    return word if len(word) <= head_bytes else b" " + xxhash.xxh128_digest(word)
+
+
+def _head_keys(head_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(0, "word", pa.array([_head_key(w, head_bytes) for w in b.column("word").to_pylist()], pa.binary()))
+
+    return run
+
+
+def _occurrences(head, head_bytes: int):
     """A row for each document with the sums over its common words and its end, and a row for each of its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known, base, score = head.value
-        get, ids = index.get, row_ids()
+        ids = row_ids()
+
+        def get(word: bytes, none: int) -> int:
+            at = index.get(word, none)
+            return at if at >= 0 or len(word) <= head_bytes else index.get(_head_key(word, head_bytes), none)
+
         for batch in batches:
             out: list[tuple] = []
             for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
@@ -373,31 +393,33 @@ def _commonest(words: DataFrame, most: int) -> DataFrame:
 
 
 def lattice_scores(
-    docs: DataFrame, model_file: str, *, fold: tuple[int, int] = (7, 2), em_rounds: int = 2, head_words: int = 300_000, head_bytes: int = 64
+    docs: DataFrame, model_file: str, *, fold: tuple[int, int] = (7, 2), em_rounds: int = 2, keep: float = 0.1, whole_words: bool = True, head_words: int = 300_000, head_bytes: int = 64
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
-    fold: rows whose crc32(doc_id as text) mod fold[0] is fold[1] are held out; the model learns from all others.
+    fold: rows whose crc32(doc_id as text) mod fold[0] is fold[1] are held out; the model learns from all others. keep: how much of
+    the vocabulary's own scores stays in the pieces' weights; whole_words: whether there are arcs for them.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_mod(F.col("doc_id"), *fold).alias("held_out"), F.col("text").cast("binary").alias("text"))
     counts = written(rows.select("held_out", "text").mapInArrow(_count, "word binary, c long, c_all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all")), "words")
     trained = counts.filter("c > 0")
-    totals = trained.agg(*(F.coalesce(x.cast("long"), F.lit(0).cast("long")) for x in (F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)))).first()
-    model, pieces = Model(*totals), Pieces.load(model_file)
+    totals = trained.agg(*(F.coalesce(x.cast("long"), F.lit(0).cast("long")) for x in (F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.sum(F.when(F.length("word") == 0, F.col("c")))))).first()
+    model, pieces = Model(*totals, whole_words), Pieces.load(model_file)
+    own = np.exp(pieces.log_p[:-1])
     for _ in range(em_rounds if model.n else 0):
         step = trained.filter(F.length("word") > 0).select("word").mapInArrow(_em_step(pieces), "piece int, n double")
         expected = np.zeros(pieces.n)
         for k, n in step.groupBy("piece").agg(F.sum("n")).collect():  # at most the size of the vocabulary
             expected[k] = n
-        pieces = pieces.reweighted(expected) if expected.any() else pieces
+        pieces = pieces.reweighted(keep * own + (1 - keep) * expected / expected.sum()) if expected.any() else pieces
     weighed = written(counts.mapInArrow(_with_lattice(pieces), "word binary, c long, c_all long, log_lattice double"), "weighed-words")
-    common = _commonest(weighed.filter(F.length("word") <= head_bytes), head_words).select("word", "c", "log_lattice").toArrow()
+    common = _commonest(weighed, head_words).select("word", "c", "log_lattice").mapInArrow(_head_keys(head_bytes), "word binary, c long, log_lattice double").toArrow()
     names, c, lattice = common.column("word").to_pylist(), common.column("c").to_numpy(), common.column("log_lattice").to_numpy()
     is_end = np.array([not w for w in names], dtype=bool)
     head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, c > 0, model.base(c), model.score(c, lattice, is_end)))
-    seen = rows.mapInArrow(_occurrences(head), "word binary, rid long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    seen = rows.mapInArrow(_occurrences(head, head_bytes), "word binary, rid long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     no = {x: F.lit(None).cast(t) for x, t in (("c", "long"), ("log_lattice", "double"))}
     both = seen.withColumns(no).unionByName(weighed.select("word", F.lit(-1).cast("long").alias("rid"), "c", "log_lattice"), allowMissingColumns=True)
     key = F.when(F.col("word").isNull(), F.col("rid")).otherwise(F.xxhash64("word"))

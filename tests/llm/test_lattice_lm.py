@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -51,7 +52,7 @@ def test_alone_and_together_agree(pieces):
 def test_em_raises_the_likelihood(pieces):
     words = ["thtion", "thnder", "ertion", "nderth", "thth", "tionnd"]
     before = pieces.log_probabilities(words).sum()
-    assert pieces.reweighted(pieces.expected_counts(words)).log_probabilities(words).sum() > before
+    assert pieces.reweighted(pieces.expected_counts(words) + 0.01).log_probabilities(words).sum() > before
 
 
 def test_long_word_is_finite(pieces):
@@ -74,6 +75,37 @@ def test_against_brute_force(spark, head_words):
         assert tuple(g[:5]) == w[:5] and g[5] == pytest.approx(w[5]) and -math.inf < g[6] < 0
 
 
+@pytest.mark.parametrize("whole_words", [True, False])
+def test_score_against_enumeration(spark, pieces, whole_words):
+    """With the vocabulary's own scores as weights: every segmentation of every word, straight from the definition."""
+    rows = [(i, " ".join(random.Random(i).choices(["the", "on", "er", "titi", "Anan", "zq"], k=4))) for i in range(30)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    c = Counter(t for i, x in rows if not held[i] for t in [*x.lower().split(), ""])
+    n, v, n1, n2 = sum(c.values()), len(c), sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values())
+    d = n1 / (n1 + 2 * n2) if n1 else 0.5
+
+    def p(word):
+        if not word:
+            return c[""] / n
+        parts = all_segmentations(pieces, MARK + word)
+        return max(c[word] - d, 0) / n + d * v / n * parts if whole_words else (1 - c[""] / n) * parts
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in lattice_scores(docs, VOCABULARY, em_rounds=0, whole_words=whole_words, head_words=3).join(docs, "doc_id").collect():
+        assert r.score == pytest.approx(sum(math.log10(p(t)) for t in [*r.text.lower().split(), ""]))
+
+
+def test_own_scores_stay_in_the_weights(spark, pieces):
+    """A share of the vocabulary's own weights, whatever the corpus; a common long token goes to all tasks by its hash."""
+    long = "x" * 200
+    rows = [(i, f"{long} w{i % 5}" if i % 10 else f"w{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = {r.doc_id: r.score for r in lattice_scores(docs, VOCABULARY, head_words=2).collect()}
+    assert few == pytest.approx({r.doc_id: r.score for r in lattice_scores(docs, VOCABULARY).collect()})
+    own = {r.doc_id: r.score for r in lattice_scores(docs, VOCABULARY, keep=1.0).collect()}
+    assert own == pytest.approx({r.doc_id: r.score for r in lattice_scores(docs, VOCABULARY, em_rounds=0).collect()}) and own != pytest.approx(few)
+
+
 def test_probabilities_sum_to_less_than_one(spark, pieces):
     """Over all words of up to two letters of a small alphabet, with a model of a few counts."""
     letters = "abcdefghijklmnopqrstuvwxyz"
