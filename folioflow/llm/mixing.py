@@ -4,13 +4,15 @@ A naive Bayes classifier over binned statistics of the text learns domains from
 its posteriors p[d, k]. With t[d] tokens and a rate r[d] >= 0 (how often the document is read), domain k is expected to have
 sum over d of t[d] * p[d, k] * r[d] tokens. Rates are fitted by projected gradient to
 
-    minimise  sum over k of (that sum - target[k])**2 / target[k],   r >= 0,   from r = 1
+    minimise  sum over k of (that sum - target[k])**2 / target[k],   0 <= r <= most,   from r = 1
 
 with steps scaled by 1 / t[d], and momentum. A step needs one number a domain from the corpus and adds one vector to the rates' recipe, so
 no document comes to the driver. A rate depends on p alone, so the fit runs over the distinct p, of which the bins of the
-statistics bound the number, and goes on until the targets are met or the error stands still; what is missed then is warned of.
+statistics bound the number, and goes on until the targets are met or the error stands still; what is missed then is warned of and
+in the result. Targets are as asked for. There is no greatest rate unless the caller sets one.
 
-All that reads documents is DataFrame functions. Labels without a domain don't teach; with no label at all the posteriors are even.
+All that reads documents is DataFrame functions. Labels without a domain don't teach; of a document's labels toxic counts before high,
+and high before low; with no label at all the posteriors are even.
 Results: null or blank texts have no tokens, so their rate moves no total; repeated rows each get the same rate; a row with a null
 doc_id isn't labelled. Other columns are ignored. An empty table gives no rows.
 """
@@ -110,15 +112,15 @@ def posteriors(rows: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOM
     return rows.withColumn("p", F.transform("s", lambda x: x / F.aggregate("s", F.lit(0.0), lambda a, b: a + b))).drop("s")
 
 
-def _after(state: Column, steps: list[list[float]]) -> Column:
+def _after(state: Column, steps: list[list[float]], most: float) -> Column:
     """state struct(rate, ahead) after these steps, each a vector by domain and then the momentum.
 
-    Projected gradient from the point ahead; the rate never falls below zero.
+    Projected gradient from the point ahead; the rate stays between zero and `most`.
     """
 
     def step(now: Column, g: Column) -> Column:
         down = F.aggregate(F.zip_with("p", g, lambda p, x: p * F.coalesce(x, F.lit(0.0))), F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0)))
-        rate = F.greatest(F.lit(0.0), now["ahead"] - down)
+        rate = F.least(F.lit(most), F.greatest(F.lit(0.0), now["ahead"] - down))
         return F.struct(rate.alias("rate"), (rate + F.element_at(g, -1) * (rate - now["rate"])).alias("ahead"))
 
     if not steps:
@@ -126,9 +128,9 @@ def _after(state: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(F.array(*(F.array(*map(F.lit, g)) for g in steps)), state, step)
 
 
-def _descend(targets: list[float], scale: list[float], longest: float, total, step, rounds: int, tolerance: float, patience: int) -> None:
+def _descend(targets: list[float], scale: list[float], longest: float, total, step, rounds: int, tolerance: float, patience: int) -> list[float]:
     """Steps until each target is met to the tolerance, or `patience` of them have brought next to nothing; warns of what is
-    missed. total(): the domains' totals at the point ahead; step(vector) moves the rates."""
+    missed, as shares of the targets, and returns it. total(): the domains' totals at the point ahead; step(vector) moves the rates."""
     last, least, idle, pace, miss = math.inf, math.inf, 0, 1.0, []
     for _ in range(rounds if longest else 0):
         miss = [(t - target) / s for t, target, s in zip(total(), targets, scale, strict=True)]
@@ -145,10 +147,13 @@ def _descend(targets: list[float], scale: list[float], longest: float, total, st
         pace = faster
     if max(map(abs, miss), default=0.0) >= tolerance:
         warnings.warn("targets missed by " + ", ".join(f"{m:+.3%}" for m in miss), stacklevel=3)
+    return miss or [0.0] * len(targets)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], *, rounds: int = 20_000, tolerance: float = 1e-4, fold: int = 12, patience: int = 10, most_local: int = 300_000) -> DataFrame:
-    """rows (tokens, p) with a rate. Up to most_local distinct p are fitted on the driver; beyond, each step is a pass over
+def fit_rates(
+    rows: DataFrame, targets: list[float], *, most: float = math.inf, rounds: int = 20_000, tolerance: float = 1e-4, fold: int = 12, patience: int = 10, most_local: int = 300_000
+) -> DataFrame:
+    """rows (tokens, p) with a rate of at most `most`, and missed (array<double>: by what share each target is). Up to most_local distinct p are fitted on the driver; beyond, each step is a pass over
     them, and after `fold` steps the rates so far are written, so that the recipe stays short."""
     n = len(targets)
     scale = [max(t, 1e-6 * sum(targets), 1e-9) for t in targets]
@@ -161,34 +166,34 @@ def fit_rates(rows: DataFrame, targets: list[float], *, rounds: int = 20_000, to
         now = {"rate": np.ones(len(own)), "ahead": np.ones(len(own))}
 
         def step(g: list[float]) -> None:
-            rate = np.maximum(0.0, now["ahead"] - p @ np.array(g[:-1]))
+            rate = np.clip(now["ahead"] - p @ np.array(g[:-1]), 0.0, most)
             now.update(rate=rate, ahead=rate + g[-1] * (rate - now["rate"]))
 
-        _descend(targets, scale, longest, lambda: (tokens * now["ahead"]) @ p, step, rounds, tolerance, patience)
+        missed = _descend(targets, scale, longest, lambda: (tokens * now["ahead"]) @ p, step, rounds, tolerance, patience)
         rates = rows.sparkSession.createDataFrame([(g.p, float(r)) for g, r in zip(own, now["rate"], strict=True)], "p array<double>, rate double")
-        return rows.join(F.broadcast(written(rates, "fitted-rates")), "p")
+        return rows.join(F.broadcast(written(rates, "fitted-rates")), "p").withColumn("missed", F.array(*map(F.lit, map(float, missed))))
     at = {"rows": groups.withColumn("state", F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))), "steps": []}
 
     def total() -> list[float]:
-        ahead = at["rows"].withColumn("now", _after(F.col("state"), at["steps"])["ahead"])
+        ahead = at["rows"].withColumn("now", _after(F.col("state"), at["steps"], most)["ahead"])
         return list(ahead.agg(*(F.sum(F.col("tokens") * F.element_at("p", k + 1) * F.col("now")) for k in range(n))).first())
 
     def far_step(g: list[float]) -> None:
         at["steps"].append(g)
         if len(at["steps"]) == fold:
-            at.update(rows=written(at["rows"].withColumn("state", _after(F.col("state"), at["steps"])), "rates"), steps=[])
+            at.update(rows=written(at["rows"].withColumn("state", _after(F.col("state"), at["steps"], most)), "rates"), steps=[])
 
-    _descend(targets, scale, longest, total, far_step, rounds, tolerance, patience)
-    return rows.join(at["rows"].select("p", _after(F.col("state"), at["steps"])["rate"].alias("rate")), "p")
+    missed = _descend(targets, scale, longest, total, far_step, rounds, tolerance, patience)
+    rated = rows.join(at["rows"].select("p", _after(F.col("state"), at["steps"], most)["rate"].alias("rate")), "p")
+    return rated.withColumn("missed", F.array(*map(F.lit, map(float, missed))))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, reference: str | None = None, budget: float | None = None, epochs: float = 4.0) -> DataFrame:
-    """One row per document: doc_id, tokens, domain, p_<name> for each domain, rate and copies.
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, reference: str | None = None, budget: float | None = None, most_rate: float = math.inf) -> DataFrame:
+    """One row per document: doc_id, tokens, domain, p_<name> and missed_<name> for each domain, rate and copies.
 
     weights: share of tokens of each domain. The targets are weights * budget; without a budget it is such that the
-    reference domain keeps its expected tokens. No domain is asked for more than `epochs` times what there is of it, which
-    would only bend the rates of all others. copies: the rate as a whole number, rounded up by the hash of the id as often
-    as the fraction says.
+    reference domain keeps its expected tokens. missed_<name>: by what share of it the domain's target is missed, the same on all
+    rows. copies: the rate as a whole number, rounded up by the hash of the id as often as the fraction says.
     """
     names = tuple(weights)
     domains = domain_of(labels)
@@ -198,15 +203,16 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, refe
     if budget is None:
         at = names.index(reference or names[0])
         budget = have[at] * sum(weights.values()) / weights[names[at]]
-    targets = [min(w / sum(weights.values()) * budget, epochs * h) for w, h in zip(weights.values(), have, strict=True)]
-    fitted = fit_rates(rows, targets)
+    targets = [w / sum(weights.values()) * budget for w in weights.values()]
+    fitted = fit_rates(rows, targets, most=most_rate)
     best = reduce(lambda a, k: F.when(F.element_at("p", k + 1) == F.array_max("p"), names[k]).otherwise(a), reversed(range(len(names))), F.lit(None).cast("string"))
     even = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(F.col("rate") + 1e-9) + (even < F.col("rate") - F.floor(F.col("rate") + 1e-9)).cast("long")).cast("long")
-    return fitted.select("doc_id", "tokens", best.alias("domain"), *(F.element_at("p", k + 1).alias(f"p_{name}") for k, name in enumerate(names)), "rate", copies.alias("copies"))
+    own = [F.element_at(column, k + 1).alias(f"{prefix}_{name}") for column, prefix in (("p", "p"), ("missed", "missed")) for k, name in enumerate(names)]
+    return fitted.select("doc_id", "tokens", best.alias("domain"), *own, "rate", copies.alias("copies"))
 
 
 def sampled_to_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **options) -> DataFrame:
-    """The rows of docs that have a copy in the mixture, with all their columns, once each: a rate over one doesn't repeat
-    a document here, so no domain is asked for more than there is of it."""
-    return without(docs, mixed(docs, labels, weights, epochs=1.0, **options).filter("copies = 0 and doc_id is not null"))
+    """The rows of docs that have a copy in the mixture, with all their columns, once each: a document isn't repeated here, so rates
+    are fitted under one."""
+    return without(docs, mixed(docs, labels, weights, most_rate=1.0, **options).filter("copies = 0 and doc_id is not null"))

@@ -80,10 +80,30 @@ def test_soft_posteriors_meet_the_targets_with_the_defaults(spark):
     total = lambda got: (got.tokens * got.rate).to_numpy() @ np.array(got.p.tolist())
     got = fit_rates(rows, targets).toPandas()
     assert len(got) == 400 and total(got) == pytest.approx(targets, rel=1e-3)
+    assert np.abs(np.array(got.missed.tolist())).max() < 1e-4
     with pytest.warns(UserWarning, match="targets missed"):
         fit_rates(rows, targets, rounds=3)
 
 
+@pytest.mark.parametrize("most_local", [300_000, 0])
+def test_rates_under_a_bound(spark, most_local):
+    """Both ways to fit keep the bound, agree with brute force, and say what is missed."""
+    rng = np.random.default_rng(5)
+    tokens, p = rng.integers(50, 500, 60).astype(float), rng.dirichlet([0.3] * 3, 60)
+    targets = (tokens @ p) * [1.0, 0.2, 1.5]
+    rows = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="targets missed"):
+        got = fit_rates(rows, list(targets), most=1.0, rounds=60, most_local=most_local).toPandas()
+    rate, q = got.rate.to_numpy(), np.array(got.p.tolist())
+    a = tokens[:, None] * p / np.sqrt(targets)
+    r, step = np.ones(60), 1 / np.linalg.eigvalsh((a.T / tokens) @ a)[-1]
+    for _ in range(20_000):
+        r = np.clip(r - step * (a @ (a.T @ r - np.sqrt(targets))) / tokens, 0, 1)
+    error = lambda total: ((total - targets) ** 2 / targets).sum() / targets.sum()
+    assert (rate >= 0).all() and (rate <= 1).all() and error((got.tokens * rate).to_numpy() @ q) <= error((tokens * r) @ p) + 1e-4
+    assert got.missed.iloc[0] == pytest.approx(((got.tokens * rate).to_numpy() @ q - targets) / targets, abs=0.02)
+
+
 @pytest.mark.parametrize("labels", [[], [(15, 1, 0, "")], [(15, None, None, ""), (None, 1, 1, ""), (16, 0, 1, "")]])
 def test_edges(spark, labels):
     got = mixed(edge_docs(spark), spark.createDataFrame(labels, LABELS), WEIGHTS).collect()

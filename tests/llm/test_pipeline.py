@@ -72,7 +72,7 @@ def test_one_of_near_copies_stays(steps):
 
 
 def test_mixture(spark, corpus, steps):
-    rates = mixed(steps[3], table(spark, corpus, "labels"), MIXTURE, epochs=1.0)
+    rates = mixed(steps[3], table(spark, corpus, "labels"), MIXTURE, most_rate=1.0)
     assert ids(steps[4]) == ids(rates.filter("copies > 0 or doc_id is null"))
     assert steps[4].count() > 0.85 * steps[3].count()
 
