@@ -178,7 +178,11 @@ def pack(
 def packed_documents(
     docs: DataFrame, tokenizer: Tokenizer, capacity: Capacity | None = None, *, with_ids: bool = False, rule: str = "norm"
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
+
+    With the default capacities only tokens bind: 1024 tokens are never more than 1024 pieces nor cost more than 1024 squared, so the
+    plan is best fit by tokens, which is what fewest sequences ask for. Smaller capacities for documents or attention bind too.
+    """
     capacity = capacity or Capacity()
     pieces = written(token_pieces(docs, tokenizer, size=capacity.tokens, with_ids=with_ids), "pieces")
     return pack(pieces, capacity, rule=rule).drop("rid")

@@ -30,7 +30,10 @@ def words_of(text: Column) -> Column:
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """How many words stand in a window of that many words that the text has twice or more."""
+    """How many words stand in a window of that many words that the text has twice or more.
+
+    Windows are told apart by 64-bit hashes: a text of n words has a false twin with a chance of about n * n / 2**65, 1e-11 at 20,000 words.
+    """
 
     def places(sorted_grams: Column) -> Column:
         def twin(x: Column, i: Column) -> Column:
