@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm.common import table, written
+from folioflow.llm.common import forget_written, n_written, table, written
 from folioflow.llm.exact_dedup import without_duplicates
 from folioflow.llm.mixing import sampled_to_mixture
 from folioflow.llm.packing import packed_documents
@@ -45,9 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), n_written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, name)
+            forget_written(spark, first, n_written() - 1)  # what the stage read and left; its output stays
     return docs
