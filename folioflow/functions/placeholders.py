@@ -9,7 +9,10 @@ import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from .text import IDENTIFIER
+
 PREFIX = "FOLIO_"
+_RAISED = re.compile(r"(?is)<sup(?:\s[^>]*)?>.*?</sup>")
 KINDS = ("SUP", "IMATH", "ID", "SEG")
 TOKEN = re.compile(rf"{PREFIX}(?:{'|'.join(KINDS)})_\d{{4}}_[0-9A-F]{{16}}")
 #: Also a token that was cut, spaced or written in lower case.
@@ -77,6 +80,36 @@ def restore(text: str | None, records: list[Record], shape: re.Pattern = TOKEN)
     return None if shape.search(out) else out
 
 
+def protected_parts(text: str, formulae: Iterable[str], identifier: re.Pattern = re.compile(IDENTIFIER)) -> tuple[str, list[Record]]:
+    """Text with tokens for raised marks, then formulae (fragments in their order), then identifiers; a later pass doesn't look into the
+    tokens of the ones before. Records are those of all passes, in order of the passes."""
+    shown, records = protect(text, list(_RAISED.finditer(text)), "SUP")
+    found, at = [], 0
+    for f in formulae:
+        m = re.compile(re.escape(f)).search(shown, at) if f.strip() else None
+        if m:
+            found.append(m)
+            at = m.end()
+    for kind, find in (("IMATH", lambda _: found), ("ID", lambda x: list(identifier.finditer(x)))):
+        taken = [m.span() for m in TOKEN.finditer(shown)]
+        outside = [m for m in find(shown) if not any(a < m.end() and m.start() < b for a, b in taken)]
+        shown, more = protect(shown, outside, kind)
+        records += more
+    return shown, records
+
+
+def restored_parts(text: str | None, records: list[Record]) -> str | None:
+    """The text with the fragments of each pass, the last pass first; None if a token of any is lost, repeated or out of order."""
+    out = text
+    for kind in ("ID", "IMATH", "SUP"):
+        own = [r for r in records if r.token.startswith(f"{PREFIX}{kind}_")]
+        shape = re.compile(rf"{PREFIX}{kind}_\d{{4}}_[0-9A-F]{{16}}")
+        if out is None:
+            return None
+        out = restore(out, own, shape) if own or shape.search(out) else out
+    return out
+
+
 def _visible(text: str) -> str:
     folded = unicodedata.normalize("NFKC", html.unescape(re.sub(r"<[^>]*>", "", text)))
     return "".join(c for c in folded if unicodedata.category(c) != "Cf")

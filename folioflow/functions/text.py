@@ -12,6 +12,11 @@ def _c(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once a row: a lambda binds it. (A value that is named twice is worked out twice.)"""
+    return F.transform(F.array(value), body)[0]
+
+
 def plain_text(text: Column | str) -> Column:
     """Without light inline markup; comparison signs stay."""
     return F.regexp_replace(_c(text), fixed.LIGHT_TAGS, "")
@@ -87,12 +92,14 @@ def is_skip_page(text: Column | str) -> Column:
 
 
 def is_disclaimer(text: Column | str) -> Column:
-    t = _c(text)
-    label = F.lower(F.regexp_replace(collapsed(t), "[ \\t\\r\\n:;,.!?]+$", "")) == "this report is intended for"
-    lines = F.filter(F.transform(F.split(F.regexp_replace(t, "<[^>]+>", ""), "\n"), F.trim), lambda x: x != "")
-    owned = F.filter(lines, lambda x: x.startswith("©") | F.contains(F.lower(x), F.lit("all rights reserved")))
-    notice = t.rlike(r"(?m)^\s*©") & (2 * F.size(owned) >= F.size(lines))
-    return ~label & ~plain_text(t).rlike(fixed.REPORT_STRUCTURE) & (t.rlike(fixed.DISCLAIMER) | notice)
+    def of(t: Column) -> Column:
+        label = F.lower(F.regexp_replace(collapsed(t), "[ \\t\\r\\n:;,.!?]+$", "")) == "this report is intended for"
+        lines = F.filter(F.transform(F.split(F.regexp_replace(t, "<[^>]+>", ""), "\n"), F.trim), lambda x: x != "")
+        owned = F.filter(lines, lambda x: x.startswith("©") | F.contains(F.lower(x), F.lit("all rights reserved")))
+        notice = F.contains(t, F.lit("©")) & t.rlike(r"(?m)^\s*©") & (2 * F.size(owned) >= F.size(lines))
+        return (t.rlike(fixed.DISCLAIMER) | notice) & ~label & ~plain_text(t).rlike(fixed.REPORT_STRUCTURE)
+
+    return let(_c(text), of)
 
 
 #: URLs, mail addresses and DOIs.
@@ -106,17 +113,24 @@ def identifiers(text: Column | str) -> Column:
 
 def is_identifier_only(text: Column | str) -> Column:
     """Identifiers and footnote marks, or one structured code."""
-    plain = collapsed(text)
+    return let(collapsed(text), _identifier_only)
+
+
+def _identifier_only(plain: Column) -> Column:
     bare = F.regexp_replace(plain, "[.,;]+$", "")
-    code = bare.rlike(r"(?i)^(?=[A-Z0-9/_\-]*\d)[A-Z0-9]+(?:[/_\-][A-Z0-9]+){2,}[/_\-]?$")
+    code = ~F.contains(plain, F.lit(" ")) & bare.rlike(r"(?i)^(?=[A-Z0-9/_\-]*\d)[A-Z0-9]+(?:[/_\-][A-Z0-9]+){2,}[/_\-]?$")
     whole = F.regexp_replace(plain, r"(?<=-)\s+(?=[A-Za-z0-9])", "")
     rest = F.regexp_replace(whole, IDENTIFIER, " ")
-    return (plain != "") & (code | (whole.rlike(IDENTIFIER) & rest.rlike(r"^[\s\d.,;:()\[\]{}<>#*†‡|/\\\-]*$")))
+    hinted = F.contains(plain, F.lit("@")) | F.contains(plain, F.lit("/")) | F.contains(F.lower(plain), F.lit("www."))  # what every identifier has
+    return (plain != "") & (code | (hinted & whole.rlike(IDENTIFIER) & rest.rlike(r"^[\s\d.,;:()\[\]{}<>#*†‡|/\\\-]*$")))
 
 
 def is_structured_row(text: Column | str) -> Column:
     """A row of dates, codes and numbers: no lower case, two tokens or more, digits in at least half of them."""
-    plain = collapsed(text)
+    return let(collapsed(text), _structured_row)
+
+
+def _structured_row(plain: Column) -> Column:
     tokens = F.filter(F.transform(F.split(plain, " "), lambda x: F.regexp_replace(x, r"^[.,;:()\[\]]+|[.,;:()\[\]]+$", "")), lambda x: x != "")
     fine = F.forall(tokens, lambda x: x.rlike(r"^[A-Z0-9][A-Z0-9./%$&+\-]*$") & ~F.lower(x).isin(fixed.ROW_LABEL_WORDS))
     with_letter = F.size(F.filter(tokens, lambda x: x.rlike(r"\p{L}")))
@@ -129,14 +143,19 @@ def english_words(text: Column) -> Column:
 
 
 def is_tiny_label(text: Column | str) -> Column:
-    plain = collapsed(text)
-    n = F.size(english_words(plain))
-    return (n > 0) & (((n <= 1) & (F.length(plain) <= 12)) | ((n <= 2) & (F.length(plain) <= 18)))
+    def of(plain: Column) -> Column:
+        n = F.size(english_words(plain))
+        return (F.length(plain) <= 18) & (n > 0) & (((n <= 1) & (F.length(plain) <= 12)) | (n <= 2))
+
+    return let(collapsed(text), of)
 
 
 def is_short_citation(text: Column | str) -> Column:
     """Authors and one year, up to 180 characters: ``29 Hasbrouck & Saar (2011).``"""
-    plain = collapsed(text)
+    return let(collapsed(text), _short_citation)
+
+
+def _short_citation(plain: Column) -> Column:
     mark = r"^(?:\[\s*\d{1,4}\s*\]|\d{1,4}(?:[.)])?)\s+"
     year, connectors = r"(?i)\((?:18|19|20)\d{2}[a-z]?\)", "al and da de del der di dos du et jr la le st van von".split()
     body = F.regexp_replace(plain, mark, "")
@@ -149,6 +168,7 @@ def is_short_citation(text: Column | str) -> Column:
     joined = authors.rlike(r"(?i)(?:&|\band\b|\bet\s+al\.?)")
     return (
         F.length(plain).between(1, 180)
+        & F.contains(plain, F.lit("("))
         & (F.size(parts) == 2)
         & F.coalesce(F.get(parts, F.lit(1)).rlike(tail), F.lit(False))
         & F.regexp_replace(authors, "(?U)" + word, "").rlike(r"^[\s,&.'’\-]*$")
@@ -178,20 +198,59 @@ def is_light_gray(color: Column | str) -> Column:
     return (rgb[0] + rgb[1] + rgb[2] >= 3 * 125) & (F.greatest(*rgb) - F.least(*rgb) <= 28)
 
 
+def is_math_text(text: Column | str) -> Column:
+    """Whether a short text is mostly mathematics: shapes of LaTeX, or signs and variables that outweigh its words."""
+    return let(F.regexp_replace(F.regexp_replace(_c(text), r"(?is)</?(?:b|sup)\b[^>]*>", ""), r"(?U)^\s+|\s+$", ""), _math_text)
+
+
+def _math_text(t: Column) -> Column:
+    symbols = rf"[\p{{Sm}}{fixed.MATH_SYMBOLS}]"
+
+    def any_of(names: list[str]) -> str:
+        return "|".join(names)
+
+    variable = rf"(?i)^(?:{any_of(fixed.MATH_FUNCTIONS)}|[a-z]|[a-z]{{1,3}}\d+|(?!(?:{any_of(fixed.SHORT_PROSE_WORDS)})$)[a-z][a-z0-9'])$"
+    names = lambda of: F.regexp_extract_all(of, F.lit("[A-Za-z][A-Za-z0-9']*"), F.lit(0))
+    count = lambda shape: F.regexp_count(t, F.lit(shape))
+
+    def weighed(own: Column) -> Column:
+        prose = F.filter(own, lambda w: ~w.rlike(variable))
+        n_letters = lambda words: F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+        n_symbols, n_broken, n_relations, n_operators, n_brackets = count(symbols), count("\ufffd"), count(f"[{fixed.MATH_RELATIONS}]"), count(r"[+−*/^_]"), count(r"[()\[\]{}|]")
+        weight = 2 * n_symbols + 3 * n_broken + 2 * n_relations + n_operators + F.least(n_brackets, F.lit(4)) + F.least(count(r"\d"), F.lit(4)) + n_letters(own) - n_letters(prose)
+        shaped = (n_symbols + n_broken + n_relations > 0) | (n_operators >= 2) | (n_brackets >= 4)
+        call = (F.size(prose) == 0) & F.exists(own, lambda w: F.lower(w).isin(fixed.MATH_FUNCTIONS)) & (F.length(F.regexp_replace(t, r"(?U)\s+", "")) <= 16)
+        right = F.regexp_extract(t, f"(?s)[{fixed.MATH_RELATIONS}](.*)$", 1)
+        equation = (n_relations > 0) & (F.length(t) <= 90) & (F.size(prose) <= 4) & F.forall(names(right), lambda w: w.rlike(variable)) & ((n_symbols + n_broken > 0) | (F.size(own) > F.size(prose)))
+        outweighs = shaped & (F.size(prose) <= 1) & (weight >= 10) & (weight >= 1.15 * n_letters(prose))
+        dense = 10 * count(rf"[\p{{Sm}}{fixed.MATH_SYMBOLS}{{}}^_()\[\]|]") > 3 * F.length(t)
+        return call | (shaped & (F.size(prose) == 0)) | equation | outweighs | dense
+
+    latex = F.lit(False)
+    for shape in fixed.LATEX_SHAPES:
+        latex = latex | t.rlike(shape)
+    marked = t.rlike(rf"[\p{{Sm}}{fixed.MATH_SYMBOLS}\ufffd{fixed.MATH_RELATIONS}+−*/^_()\[\]{{}}|\\$]")
+    return F.length(t).between(1, 300) & (marked | (F.length(t) <= 40)) & ((marked & latex) | let(names(t), weighed))
+
+
 def translatable_rule(text: Column | str) -> Column:
     """Why a text needs no translation, the first rule that holds; null if it needs one."""
-    plain = collapsed(text)
-    words = english_words(plain)
-    meaning = F.filter(words, lambda w: F.length(w) > 1)
-    acronym = (F.size(meaning) == 1) & F.coalesce(F.get(meaning, F.lit(0)).rlike("^[A-Z0-9'/-]*$"), F.lit(False)) & F.coalesce(F.length(F.get(meaning, F.lit(0))) <= 8, F.lit(False)) & (F.length(plain) <= 12)
-    return (
-        F.when(plain == "", "empty")
-        .when(is_disclaimer(plain), "disclaimer")
-        .when(is_identifier_only(plain), "identifier")
-        .when(is_short_citation(plain), "citation")
-        .when(plain.rlike(r"^[\W\d_]+$") & ~plain.rlike(r"\p{L}"), "no_letters")
-        .when(F.size(words) == 0, "no_words")
-        .when(F.size(meaning) == 0, "single_letters")
-        .when(acronym, "acronym")
-        .when(is_structured_row(plain), "structured_row")
-    )
+
+    def of(plain: Column) -> Column:
+        meaning = F.filter(english_words(plain), lambda w: F.length(w) > 1)
+        only = F.get(meaning, F.lit(0))
+        acronym = (F.length(plain) <= 12) & (F.size(meaning) == 1) & F.coalesce(only.rlike("^[A-Z0-9'/-]*$") & (F.length(only) <= 8), F.lit(False))
+        return (
+            F.when(plain == "", "empty")
+            .when(is_disclaimer(plain), "disclaimer")
+            .when(is_math_text(plain), "math")
+            .when(_identifier_only(plain), "identifier")
+            .when(_short_citation(plain), "citation")
+            .when(~plain.rlike(r"\p{L}"), "no_letters")
+            .when(~plain.rlike("[A-Za-z]"), "no_words")
+            .when(~plain.rlike("[A-Za-z][A-Za-z0-9'/-]"), "single_letters")
+            .when(acronym, "acronym")
+            .when(_structured_row(plain), "structured_row")
+        )
+
+    return let(collapsed(text), of)

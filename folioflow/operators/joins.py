@@ -24,10 +24,12 @@ def missing(current: DataFrame, cached: DataFrame, *keys: str) -> DataFrame:
     return current.join(cached.select(*keys), list(keys), "left_anti")
 
 
-def checkpoint_reuse(current: DataFrame, saved: DataFrame) -> DataFrame:
-    """Saved translations whose signature and text hash are those of the segment now: doc_id, seg_id, translation."""
-    now = current.select("doc_id", "seg_id", "signature", F.sha2("source", 256).alias("sha"))
-    return now.join(saved, ["doc_id", "seg_id", "signature", "sha"]).select("doc_id", "seg_id", "translation")
+def checkpoint_reuse(current: DataFrame, saved: DataFrame, valid: Column | None = None) -> DataFrame:
+    """Saved translations whose signature and text hash are those of the segment now, and that still hold (`valid`, over doc_id, seg_id,
+    source and translation): doc_id, seg_id, translation."""
+    now = current.select("doc_id", "seg_id", "signature", F.sha2("source", 256).alias("sha"), "source")
+    same = now.join(saved, ["doc_id", "seg_id", "signature", "sha"])
+    return (same if valid is None else same.filter(valid)).select("doc_id", "seg_id", "translation")
 
 
 def continued_lines(lines: DataFrame) -> DataFrame:
@@ -69,9 +71,20 @@ def containment(docs: DataFrame, passages: DataFrame, n: int = 8) -> DataFrame:
 
 
 def glossary_hits(docs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(doc_id, source, target, n, first_offset): whole-term occurrences of glossary entries (source, target, ord)."""
+    """(doc_id, source, target, n, first_offset): whole-term occurrences of glossary entries (source, target, ord).
+
+    Documents and terms meet on the first word of the term (its first run of Latin letters and digits), then the whole term is looked
+    for. A term without any such word, which is rare, is held against all documents.
+    """
     term = F.concat(F.lit(r"(?<![A-Za-z0-9])"), F.regexp_replace("source", r"([\\.^$|?*+()\[\]{}-])", r"\\$1"), F.lit(r"(?![A-Za-z0-9])"))
-    pairs = docs.join(glossary.withColumn("pattern", term), F.contains("text", "source"))
+    terms = glossary.withColumns({"pattern": term, "__word": F.regexp_extract("source", "[A-Za-z0-9]+", 0)})
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__rid"))
+    words = rows.select("__rid", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("__word"))
+    met = words.join(terms.filter("__word <> ''"), "__word").drop("__word")
+    pairs = rows.join(met, "__rid").drop("__rid")
+    wordless = terms.filter("__word = ''").drop("__word")
+    if not wordless.isEmpty():
+        pairs = pairs.unionByName(docs.select("doc_id", "text").join(wordless, F.contains("text", "source")))
     n = F.regexp_count("text", F.col("pattern"))
     return pairs.withColumn("n", n).filter("n > 0").select("doc_id", "source", "target", "n", (F.regexp_instr("text", F.col("pattern")) - 1).alias("first_offset"), "ord")
 

@@ -345,6 +345,23 @@ def last_glyphs(spans: DataFrame, tolerance: float = 0.5) -> DataFrame:
     return spans.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
+def promoted_by_formulae(texts: DataFrame, formulae: DataFrame, *, padding: float = 0.5, least_prose: int = 20) -> DataFrame:
+    """(doc_id, page_no, elem_idx, promoted): texts that touch a formula's box, and whether they are kept with it.
+
+    A text is but where it is prose and every overlap is a sliver at an edge, no deeper than max(.35 em, 3) and the padding. texts: with
+    box, content, fontsize and perhaps line_boxes (array of boxes): then none of its lines may touch.
+    """
+    from .joins import touching
+
+    met = touching(texts, formulae.select(*PAGE, "box"), padding)
+    deep = F.least("box.y1", "other.y1") - F.greatest("box.y0", "other.y0")
+    sliver = (deep <= F.greatest(0.35 * F.col("fontsize"), F.lit(3.0))) & (F.length(F.coalesce("content", F.lit(""))) >= least_prose)
+    if "line_boxes" in texts.columns:
+        line_met = lambda b: (b["x0"] < F.col("other.x1")) & (F.col("other.x0") < b["x1"]) & (b["y0"] < F.col("other.y1")) & (F.col("other.y0") < b["y1"])
+        sliver = sliver | ((F.size("line_boxes") > 0) & ~F.exists("line_boxes", line_met))
+    return met.groupBy(*PAGE, "elem_idx").agg(F.max(~sliver).alias("promoted"))
+
+
 def distinct_regions(boxes: list[tuple[float, float, float, float]], share: float = 0.94) -> list[tuple[float, float, float, float]]:
     """Of boxes that share so much of the lesser one's area the larger stays."""
     area = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import service as S
@@ -82,32 +82,10 @@ def fallback_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("budget", budget).withColumn("publish", F.col("n_failed") <= F.col("budget"))
 
 
-def failover_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = lambda c, k: F.when(c % k == 0, "unusable").when(c % 11 == 0, "error").otherwise("ok")
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    requests = _events(spark, sf_dir).select(
-        F.col("user_id").alias("stream"), seq.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), answer(F.col("event_id"), 7).alias("primary"), answer(F.col("event_id"), 5).alias("backup")
-    )
-    return E.failover(requests, retry_primary_seconds=6 * HOUR)
-
-
-def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
-    return E.throttled(e.select(F.col("user_id").alias("stream"), "kind", F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts")), min_interval=24 * HOUR)
-
-
-def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    jobs = _events(spark, sf_dir).select(
-        (F.col("user_id") % 20).alias("queue"), e.alias("seq"), F.when(F.col("kind") == "success", "reserve").otherwise("release").alias("action"), (e % 17).alias("task"), (F.col("value") * 1000).cast("long").alias("size")
-    )
-    return E.admitted(jobs, max_tasks=8, max_bytes=200_000)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        event_window, event_window_by_user, burst_flags, cooldown, state_changes, error_classes, scrubbed, providers, usage_cost, fallback_budget, failover_replay, throttle, admission,
+        event_window, event_window_by_user, burst_flags, cooldown, state_changes, error_classes, scrubbed, providers, usage_cost, fallback_budget,
     )
 }
 

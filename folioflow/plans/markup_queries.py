@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mathtext, numbers
-from ..operators import dedup, events, layout, policy, segments
-from ..sources.tables import line_elements, lines, shared_folder, table
+from ..operators import events, segments
+from ..sources.tables import lines, shared_folder, table
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,35 +47,13 @@ def math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_math").alias("n_math"))
 
 
-def layout_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements, pages = line_elements(table(spark, sf_dir, "documents"))
-    return layout.classified(elements, pages).groupBy("doc_id", "page_no", "layout_class").agg(F.count("*").alias("n"))
-
-
-def element_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements, pages = line_elements(table(spark, sf_dir, "documents"))
-    return policy.requires_translation(layout.classified(elements, pages)).groupBy("layout_class", "rule").agg(F.count("*").alias("n"))
-
-
-def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements, pages = line_elements(table(spark, sf_dir, "documents"))
-    return layout.merged(elements, pages, "wrapped").select("doc_id", "page_no", "elem_idx", "content", "n_merged")
-
-
-def page_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that repeat on a source's pages, as if printed large in their middle."""
-    elements, pages = line_elements(table(spark, sf_dir, "documents"))
-    middle = {"x0": F.lit(100.0), "x1": F.lit(500.0), "y0": F.lit(380.0), "y1": F.lit(400.0), "fontsize": F.lit(20.0)}
-    return dedup.stamps(elements.withColumns(middle), pages)
-
-
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by the language that their html element names."""
     lang = F.regexp_extract("html", r'<html[^>]*\blang="([^"]*)"', 1)
     return table(spark, sf_dir, "pages").groupBy(lang.alias("page_lang")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (pages_strict_verdict, segments_tolerant, protect_roundtrip, byte_batches, page_languages, translation_coverage, line_numbers, math_lines, layout_classes, element_rules, merged_lines, page_stamps)}
+QUERIES = {f.__name__: f for f in (pages_strict_verdict, segments_tolerant, protect_roundtrip, byte_batches, page_languages, translation_coverage, line_numbers, math_lines)}
 ORACLES = {
     "page_languages": r"""select regexp_extract(html, '<html[^>]*\blang="([^"]*)"', 1) as page_lang, count(*) as n, sum(length(html))::bigint as n_chars from pages group by 1""",
 }

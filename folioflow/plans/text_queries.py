@@ -27,10 +27,6 @@ def term_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.top_tokens(table(spark, sf_dir, "documents"))
 
 
-def term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.candidates(table(spark, sf_dir, "documents"))
-
-
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", T.identifiers("text").alias("x"))
     return docs.filter(F.size("x") > 0).select("doc_id", F.size("x").cast("long").alias("n"), F.array_join("x", " ").alias("identifiers"))
@@ -46,11 +42,6 @@ def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.is_skip_page("text").alias("is_skip"), T.is_disclaimer("text").alias("is_disclaimer"))
 
 
-def translatable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = lines(table(spark, sf_dir, "documents"))
-    return each.groupBy("source", F.coalesce(T.translatable_rule("line"), F.lit("translate")).alias("rule")).agg(F.count("*").alias("n"))
-
-
 def next_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.continued_lines(lines(table(spark, sf_dir, "documents")))
 
@@ -94,18 +85,11 @@ def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.audit(docs.select("doc_id"), labels.select("doc_id"), "doc_id")
 
 
-def untranslated_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of 400 characters or more of which under a quarter is in lines that would be translated."""
-    each = lines(table(spark, sf_dir, "documents")).withColumn("n", F.length("line")).withColumn("kept", ~T.has_terminal_boundary("line"))
-    sums = each.groupBy("doc_id").agg(F.sum("n").alias("n_chars"), F.sum(F.when(~F.col("kept"), F.col("n")).otherwise(0)).alias("n_translatable"))
-    return sums.filter((F.col("n_chars") >= 400) & (4 * F.col("n_translatable") < F.col("n_chars")))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        repeated_lines, dup_primary, dominant_lang, term_topk, term_candidates, identifiers, line_shapes, page_flags, translatable_rules, next_lines, merge_islands,
-        ngram_containment, cache_reuse, cache_missing, request_shape, label_audit, untranslated_share,
+        repeated_lines, dup_primary, dominant_lang, term_topk, identifiers, line_shapes, page_flags, next_lines, merge_islands,
+        ngram_containment, cache_reuse, cache_missing, request_shape, label_audit,
     )
 }
 
@@ -211,10 +195,4 @@ ORACLES = {
             case when coalesce(e.n, 0) = coalesce(o.n, 0) then 'ok' when o.n is null then 'lost' when e.n is null then 'added' else 'changed' end as verdict
         from e full join o on e.doc_id = o.doc_id
     """,
-    "untranslated_share": rf"""
-        with {_LINES}, s as (
-            select doc_id, sum(length(line))::bigint as n_chars, coalesce(sum(length(line)) filter (where regexp_matches({_collapsed('line')}, '[.!?。！？]["''’”）)\]]*$')), 0)::bigint as n_translatable from lines group by 1
-        )
-        select * from s where n_chars >= 400 and 4 * n_translatable < n_chars
-    """,
 }

@@ -17,11 +17,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: spark.checkpoint.dir; where that is unset a local one in local mode, else one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    master = spark.sparkContext.master
-    if not found:
-        found = "file:/tmp/checkpoints" if master.startswith("local") and not master.startswith("local-cluster") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    """A folder that all executors share: spark.checkpoint.dir; where that is unset, one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return found.rstrip("/")
 
 
@@ -29,7 +26,7 @@ def line_elements(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Elements and pages made from documents: a source is a file, a document a page, a line an element with a box where a typewriter
     would have put it."""
     each = lines(docs).select(
-        F.xxhash64("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page_no"), F.col("line_no").cast("int").alias("elem_idx"), F.col("line").alias("content")
+        F.conv(F.substring(F.md5("source"), 1, 12), 16, 10).cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("page_no"), F.col("line_no").cast("int").alias("elem_idx"), F.col("line").alias("content")
     )
     n = F.length("content")
     x0 = F.lit(72.0) + F.when(n < 40, F.pmod(n, F.lit(5)) * 4.0).otherwise(0.0)

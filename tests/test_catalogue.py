@@ -8,7 +8,7 @@ import pytest
 from folioflow.plans.catalogue import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels conversations events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
