@@ -68,6 +68,23 @@ def ends_sentence(text: Column | str) -> Column:
     return (F.length(end) == 0) | (end.rlike(r"\p{P}$") & ~end.rlike("[,，、]$"))
 
 
+def leading_tail(text: Column | str, most: int = 400) -> Column:
+    """struct<tail, rest>: what a page's first text carries on of a sentence, up to its first full stop (with closing signs and a footnote
+    mark) before a capital, a figure, a Chinese sign or the end; null where there is none within so many characters."""
+    stops = "|".join(a.replace(".", r"\.") for a in fixed.ABBREVIATIONS)
+    stop = r"[\p{Po}\p{Pe}\p{Pf}&&[^,，、]]"
+    closers = "[" + fixed.SENTENCE_CLOSERS.replace("]", r"\]") + "]*"
+    after = r"(?=$|\s+(?:$|[^\p{L}\p{N}]*[\p{Lu}\p{N}\u2e80-\u9fff]))"
+    no_abbreviation = rf"(?<!(?i:\b(?:{stops}|et\s{{1,3}}al)\.)(?=\s{{1,9}}\S))(?<!(?:\b|\.)[A-Za-z]\.[A-Za-z]\.(?=\s{{1,9}}\S))"
+    shape = rf"(?s)^(.*?{stop}{no_abbreviation}{closers}(?:{fixed.FOOTNOTE_MARK}(?=\s|$))?){after}(.*)$"
+
+    def of(plain: Column) -> Column:
+        parts = F.struct(F.regexp_extract(plain, shape, 1).alias("tail"), F.regexp_replace(F.regexp_extract(plain, shape, 2), r"(?U)^\s+", "").alias("rest"))
+        return let(parts, lambda p: F.when((p["tail"] != "") & (F.length(p["tail"]) <= most), p))
+
+    return let(collapsed(text), of)
+
+
 def is_heading(text: Column | str) -> Column:
     """Short, and at least four in five letters are capitals."""
     t = F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")

@@ -150,3 +150,39 @@ def audit(expected: DataFrame, observed: DataFrame, *keys: str) -> DataFrame:
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Share of the words of a (an array of words) that b has too; null for no words."""
     return F.when(F.size(F.array_distinct(a)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_distinct(a)))
+
+
+def start_of(text: Column | str) -> Column:
+    """What the first letter or figure of a text is: lower, upper, digit, cjk, letter, or none."""
+    first = F.regexp_extract(collapsed(text), r"[\p{L}\p{N}]", 0)
+    return (
+        F.when(first == "", "none").when(first.rlike(r"^\p{Ll}"), "lower").when(first.rlike(r"^\p{Lu}"), "upper").when(first.rlike(r"^\p{N}"), "digit").when(first.rlike("^[\u2e80-\u9fff]"), "cjk").otherwise("letter")
+    )
+
+
+def merge_violations(decisions: DataFrame, elements: DataFrame) -> DataFrame:
+    """(doc_id, decision_idx, invariant) of accepted merges that the source's elements don't bear out.
+
+    decisions: doc_id, decision_idx, decision, kind, reason, source_page, source_element, destination_page, destination_element,
+    destination_start, source_orientation, destination_orientation; elements: doc_id, page_no, elem_idx, layout_class, content.
+    """
+
+    def side(name: str) -> DataFrame:
+        return elements.select("doc_id", F.col("page_no").alias(f"{name}_page"), F.col("elem_idx").alias(f"{name}_element"), F.col("layout_class").alias(f"{name}_layout"), F.col("content").alias(f"{name}_text"))
+
+    taken = decisions.filter("decision = 'accepted'")
+    for name in ("source", "destination"):
+        taken = taken.join(side(name), ["doc_id", f"{name}_page", f"{name}_element"], "left")
+    start = start_of("destination_text")
+    dangles = ~ends_sentence(collapsed("source_text"))
+    turned = F.coalesce(F.col("source_orientation") != F.col("destination_orientation"), F.lit(False))
+    invariant = (
+        F.when(~F.coalesce(F.col("kind"), F.lit("cross-page-merge")).isin("cross-page-merge"), "unknown-merge-kind")
+        .when(F.coalesce(F.col("reason") != "accepted", F.lit(True)), "accepted-reason")
+        .when(F.col("source_text").isNull() | F.col("destination_text").isNull(), "merge-evidence-missing")
+        .when((F.col("source_layout") != "body") | (F.col("destination_layout") != "body"), "body-layout")
+        .when(F.coalesce("destination_start", F.lit("none")) != start, "destination-start-metadata-mismatch")
+        .when(~dangles & (start != "lower"), "complete-source")
+        .when(turned, "page-orientation")
+    )
+    return taken.select("doc_id", "decision_idx", invariant.alias("invariant")).filter("invariant is not null")

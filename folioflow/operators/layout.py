@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, font_bucket, is_disclaimer
+from ..functions.text import collapsed, font_bucket, has_terminal_boundary, is_disclaimer, plain_text, squeezed
 
 ELEMENTS = "doc_id long, page_no long, elem_idx int, content string, x0 double, y0 double, x1 double, y1 double, fontsize double, bold boolean, color int"
 PAGE = ["doc_id", "page_no"]
@@ -106,6 +106,78 @@ def cells(spans: DataFrame, gap_em: float = 2.0) -> DataFrame:
     return spans.withColumn("__cut", cut).withColumn("cell", F.sum("__cut").over(w)).drop("__cut")
 
 
+def kept_apart(lines: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(doc_id, page_no, block) of blocks whose lines stay lines: two to eight short ones that aren't set to the left. aligned: of
+    policy.text_align."""
+    plain = squeezed(F.col("plain"))
+    sums = lines.withColumn("__n", F.length(plain)).groupBy(*PAGE, "block").agg(
+        F.count("*").alias("n"), F.min("__n").alias("least"), F.max("__n").alias("most"), F.sum("__n").alias("all"), (F.max("x0") - F.min("x0")).alias("spread"), F.max("fontsize").alias("em")
+    )
+    small = F.col("n").between(2, 8) & (F.col("least") > 0) & (F.col("most") <= 40) & (F.col("all") <= 180) & (F.col("spread") <= F.greatest(2.5 * F.col("em"), F.lit(24.0)))
+    return sums.filter(small).join(aligned.filter("align <> 'left'"), [*PAGE, "block"]).select(*PAGE, "block")
+
+
+def repeated_columns(lines: DataFrame) -> DataFrame:
+    """(doc_id, page_no, block, line_no) of the first lines of rows that repeat their columns right below each other: a table that
+    nobody drew. Lines (also with plain) that follow each other on one baseline are a row."""
+    order = Window.partitionBy(*PAGE, "block").orderBy("line_no")
+    level = (F.abs(F.col("y0") - F.lag("y0").over(order)) <= F.greatest(0.35 * F.col("fontsize"), F.lit(2.0))) & (F.col("x0") >= F.lag("x1").over(order) - 0.5)
+    rows = lines.withColumn("__opens", F.coalesce((~level).cast("int"), F.lit(1))).withColumn("__row", F.sum("__opens").over(order))
+    cells = F.array_sort(F.collect_list(F.struct("line_no", "x0", "x1", "plain")))
+    rows = rows.groupBy(*PAGE, "block", "__row").agg(F.min("line_no").alias("line_no"), F.min("y0").alias("y0"), F.max("fontsize").alias("em"), cells.alias("cells")).filter(F.size("cells") >= 2)
+    after = Window.partitionBy(*PAGE, "block").orderBy("line_no")
+    nxt = F.lead(F.struct("line_no", "y0", "em", "cells")).over(after)
+    pairs = rows.withColumn("b", nxt).filter("b is not null")
+    a, b = F.col("cells"), F.col("b.cells")
+    em = F.greatest("em", "b.em")
+    tolerance, down = F.greatest(F.lit(2.0), 0.35 * em), F.col("b.y0") - F.col("y0")
+    near = lambda x, y: F.abs(x - y) <= tolerance
+    last = lambda c, k: F.element_at(c, -1)[k]
+    columns = F.forall(F.arrays_zip(a.alias("l"), b.alias("r")), lambda z: near(z["l"]["x0"], z["r"]["x0"]) | near(z["l"]["x1"], z["r"]["x1"]))
+    inner = F.arrays_zip(F.slice(a, 1, F.size(a) - 1).alias("l"), F.slice(b, 1, F.size(b) - 1).alias("r"), F.slice(a, 2, F.size(a)).alias("ln"), F.slice(b, 2, F.size(b)).alias("rn"))
+    dividers = F.forall(inner, lambda z: near(z["l"]["x1"], z["r"]["x1"]) & near(z["ln"]["x0"], z["rn"]["x0"]))
+    tail, head = squeezed(last(a, "plain")), squeezed(b[0]["plain"])
+    wraps = (tail != "") & (head != "") & ~has_terminal_boundary(tail) & head.rlike(r"^\p{Ll}")
+    same = (F.size(a) == F.size(b)) & (down > 0.5) & (down <= F.greatest(2.2 * em, F.lit(18.0))) & near(a[0]["x0"], b[0]["x0"]) & near(last(a, "x1"), last(b, "x1")) & columns & dividers & ~wraps
+    found = pairs.filter(same).select(*PAGE, "block", F.explode(F.array(F.col("line_no"), F.col("b.line_no"))).alias("line_no"))
+    return found.distinct()
+
+
+#: Of each class of layout: line height and padding in shares of the type.
+CLASS_STYLES = {"body": (1.42, 0.34), "table": (1.24, 0.26), "scattered": (1.30, 0.30)}
+
+
+def page_styles(elements: DataFrame) -> DataFrame:
+    """(doc_id, page_no, layout_class, fontsize, line_height, color, color_hex, padding): the commonest type and colour of each class on
+    each page, by length of text (of equals the larger value), in bounds; a class that a page lacks goes by the whole page."""
+    weighed = elements.select(*PAGE, "layout_class", font_bucket("fontsize").alias("size"), F.coalesce("color", F.lit(0)).alias("color"), F.greatest(F.length(F.trim(plain_text("content"))), F.lit(1)).cast("double").alias("w"))
+
+    def most(value: str, *by: str) -> DataFrame:
+        sums = weighed.groupBy(*by, value).agg(F.sum("w").alias("w"))
+        return sums.groupBy(*by).agg(F.max(F.struct("w", value))[value].alias(value))
+
+    whole = most("size", *PAGE).withColumnRenamed("size", "all_size").join(most("color", *PAGE).withColumnRenamed("color", "all_color"), PAGE)
+    classes = F.explode(F.array(*(F.struct(F.lit(k).alias("layout_class"), F.lit(h).alias("height"), F.lit(p).alias("padding")) for k, (h, p) in CLASS_STYLES.items()))).alias("c")
+    each = whole.select("*", classes).select(*PAGE, "all_size", "all_color", "c.*")
+    each = each.join(most("size", *PAGE, "layout_class"), [*PAGE, "layout_class"], "left").join(most("color", *PAGE, "layout_class"), [*PAGE, "layout_class"], "left")
+    a, is_class = F.col("all_size"), lambda k: F.col("layout_class") == k
+    between = lambda x, low, high: F.greatest(F.lit(low), F.least(x, high if isinstance(high, Column) else F.lit(high)))
+    fallback = F.when(is_class("body"), a).when(is_class("table"), F.greatest(F.lit(7.0), F.when(a > 9.0, a - 1.0).otherwise(a))).otherwise(between(a, 8.0, 12.0))
+    size = F.coalesce("size", fallback)
+    size = F.when(is_class("body"), between(size, 9.0, 13.0)).when(is_class("table"), between(size, 7.0, F.greatest(a, F.lit(9.5)))).otherwise(between(size, 8.0, 12.0))
+    color = F.coalesce("color", "all_color")
+    return each.select(*PAGE, "layout_class", size.alias("fontsize"), (size * F.col("height")).alias("line_height"), color.alias("color"), F.concat(F.lit("#"), F.lower(F.lpad(F.hex(color), 6, "0"))).alias("color_hex"), "padding")
+
+
+def paragraph_elements(elements: DataFrame) -> DataFrame:
+    """An element for each of an element's paragraphs (array<struct<plain, x0, y0, x1, y1>>, boxes relative to its corner): doc_id,
+    page_no, elem_idx, part, content, x0, y0, x1, y1; one without paragraphs stays as it is."""
+    own = F.array(F.struct(F.col("content").alias("plain"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("x1") - F.col("x0")).alias("x1"), (F.col("y1") - F.col("y0")).alias("y1")))
+    parts = F.when(F.size(F.coalesce("paragraphs", F.array())) > 0, F.col("paragraphs")).otherwise(own)
+    each = elements.select(*PAGE, "elem_idx", "x0", "y0", F.posexplode(parts).alias("part", "p"))
+    return each.select(*PAGE, "elem_idx", "part", F.col("p.plain").alias("content"), *((F.col(o) + F.col(f"p.{n}")).alias(n) for o, n in (("x0", "x0"), ("y0", "y0"), ("x0", "x1"), ("y0", "y1"))))
+
+
 @dataclass
 class Box:
     idx: int

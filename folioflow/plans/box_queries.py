@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import text as T
 from ..functions.text import font_bucket
+from ..functions.validation import reference_reason
 from ..operators import dedup, joins, layout, policy
 from ..sources.tables import line_elements, lines, table
 from . import shape_queries, sql
@@ -200,11 +202,83 @@ def formula_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.formula_stubs(marked, formulae).select("doc_id", "page_no", F.col("elem_idx").cast("long").alias("elem_idx"))
 
 
+def page_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    elements, pages = line_elements(table(spark, sf_dir, "documents"))
+    colored = layout.classified(elements, pages).withColumns({"fontsize": 7.0 + F.col("elem_idx") % 9, "color": (F.col("elem_idx") % 3 * 1_118_481).cast("int")})
+    return layout.page_styles(colored).select("doc_id", "page_no", "layout_class", "fontsize", F.round("line_height", 6).alias("line_height"), F.col("color").cast("long").alias("color"), "color_hex", "padding")
+
+
+def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of documents' first lines, cut short and set to the right in every third document, that stay lines."""
+    rows = _blocks(spark, sf_dir).filter("line_no < 5").withColumn("plain", F.substring("plain", 1, 20))
+    moved = rows.withColumns({"x0": F.when(F.col("doc_id") % 3 == 0, 500.0 - F.col("x1") + F.col("x0")).otherwise(F.col("x0")), "x1": F.when(F.col("doc_id") % 3 == 0, 500.0).otherwise(F.col("x1"))})
+    return layout.kept_apart(moved, policy.text_align(moved)).select("doc_id")
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as lines of blocks: an order is a block, three to a row."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber") - 1
+    each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    x0 = 80.0 * (n % 2) + F.when(k % 5 == 0, 9.0 * (n % 4)).otherwise(0.0)
+    return each.select((k % 7).alias("doc_id"), F.lit(0).cast("long").alias("page_no"), k.alias("block"), n.cast("long").alias("line_no"), F.concat("f", F.lit(" "), F.when(k % 3 == 0, "goes on").otherwise("Total.")).alias("plain"),
+        x0.cast("double").alias("x0"), (x0 + 60.0).cast("double").alias("x1"), (14.0 * F.floor(n / 2)).cast("double").alias("y0"), F.lit(10.0).alias("fontsize"))
+
+
+def repeated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.repeated_columns(_grid(spark, sf_dir))
+    return found.groupBy("doc_id", "block").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
+
+
+def sentence_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lines carry on of a sentence, and how much follows it."""
+    each = lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.leading_tail("line", 120).alias("p"))
+    return each.filter("p is not null").select("doc_id", "line_no", F.length("p.tail").cast("long").alias("n_tail"), F.length("p.rest").cast("long").alias("n_rest"))
+
+
+def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    title = F.concat(F.initcap("p_name"), F.lit(" "), F.initcap("p_type"), F.when(k % 4 == 0, " Bank").when(k % 4 == 1, ", ABC").otherwise(""))
+    shown = policy.is_display_title(title, 10.0 + k % 10, F.floor(k / 10) % 3, exempt=k % 6 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", shown.alias("is_title"))
+
+
+def reference_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations of bibliography entries: whole, with the lead changed, echoed, without an address or a number, or too short."""
+    k = F.col("c_custkey")
+    lead = F.concat(F.initcap("c_mktsegment"), F.lit(", "), F.substring("c_name", 1, 1), F.lit(". ("), (F.lit(1900) + k % 100).cast("string"), F.lit("). "))
+    rest = F.concat(F.lit("Notes on the market of "), F.lower("c_mktsegment"), F.lit(" in "), (F.lit(100) + k % 800).cast("string"), F.lit(" cases, https://x.example/"), k.cast("string"))
+    said = F.when(k % 7 == 0, F.concat(lead, F.lit("关于市场的若干说明，"), (F.lit(100) + k % 800).cast("string"), F.lit("例，https://x.example/"), k.cast("string"))).when(k % 7 == 1, F.concat(F.lit("x"), lead, rest)).when(k % 7 == 2, F.concat(lead, rest)).when(
+        k % 7 == 3, F.concat(lead, F.lit("关于市场的若干说明"))).when(k % 7 == 4, F.concat(lead, F.lit("关于市场的若干说明 https://x.example/"), k.cast("string"), F.lit(" x"))).when(k % 7 == 5, F.concat(lead, F.lit("文 "), rest)).otherwise(F.concat(lead, rest, F.lit(" 关于市场的")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", lead.alias("lead"), rest.alias("rest"), F.concat(lead, rest).alias("source"), said.alias("said"))
+    return rows.select("c_custkey", reference_reason("source", "said", F.col("lead"), F.col("rest")).alias("reason"))
+
+
+def merge_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as elements of pages and merges of each turn into the next: those that the turns don't bear out."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.lit(0).cast("long").alias("elem_idx"), F.when(F.col("turn") % 5 == 4, "table").otherwise("body").alias("layout_class"), F.col("text").alias("content"))
+    k = F.col("doc_id") * 3 + F.col("page_no") * 5
+    made = turns.select(
+        "doc_id", F.col("page_no").alias("decision_idx"), F.when(k % 9 == 0, "rejected").otherwise("accepted").alias("decision"), F.when(k % 7 == 0, "other").otherwise("cross-page-merge").alias("kind"), F.when(k % 8 == 0, "weak").otherwise("accepted").alias("reason"),
+        F.col("page_no").alias("source_page"), F.lit(0).cast("long").alias("source_element"), (F.col("page_no") + 1).alias("destination_page"), F.lit(0).cast("long").alias("destination_element"), F.when(k % 4 == 0, "lower").otherwise("upper").alias("destination_start"),
+        F.lit("h").alias("source_orientation"), F.when(k % 5 == 0, "v").otherwise("h").alias("destination_orientation"),
+    )
+    return joins.merge_violations(made, turns)
+
+
+def paragraph_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a paragraph for each word of every third, an element for each."""
+    texts = _texts(spark, sf_dir).select("doc_id", "page_no", "elem_idx", "content", "box.*")
+    parts = F.transform(F.split("content", " "), lambda w, i: F.struct(w.alias("plain"), F.lit(1.0).alias("x0"), (12.0 * i).alias("y0"), (1.0 + 6.0 * F.length(w)).alias("x1"), (12.0 * i + 10.0).alias("y1")))
+    made = layout.paragraph_elements(texts.withColumn("paragraphs", F.when(F.col("elem_idx") % 3 == 0, parts)))
+    return made.select("elem_idx", F.col("part").cast("long").alias("part"), "content", "x0", "y1")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         layout_classes, element_rules, merged_lines, page_stamps, reading_ranks, cross_page, main_fonts, line_cells, block_paragraphs, block_alignment, touching_boxes, shallow_overlaps, images_outside, marker_targets, groups_above,
-        word_overlap, glossary_hits, tabular, frozen_tables, formula_summary, warnings, fallback_closure, glyphs, formula_stubs,
+        word_overlap, glossary_hits, tabular, frozen_tables, formula_summary, warnings, fallback_closure, glyphs, formula_stubs, page_styles, kept_lines, repeated_columns,
+        sentence_tails, display_titles, reference_verdicts, merge_violations, paragraph_elements,
     )
 }
 
@@ -343,4 +417,60 @@ ORACLES = {
         o as (select * from t where q <> '' and not {sql.ends_sentence('q')} and not (length(h) between 1 and 130 and len(regexp_extract_all(h, '\p{{L}}')) >= 4 and 5 * len(regexp_extract_all(h, '\p{{Lu}}')) >= 4 * len(regexp_extract_all(h, '\p{{L}}'))))
         select distinct o.doc_id, o.page_no, o.elem_idx from o join e f on f.doc_id = o.doc_id and f.page_no = o.page_no and f.elem_idx % 3 = 1 and f.y0 - o.y1 between -5 and 15 and f.x0 < o.x1 and o.x0 < f.x1 where o.y1 - o.y0 <= 2.6 * 12
     """,
+    "page_styles": rf"""
+        with {_CLASSES}, w as (select doc_id, page_no, layout_class, 7.0::double + elem_idx % 9 as size, elem_idx % 3 * 1118481 as color, greatest(length(trim(content)), 1)::double as w from c),
+        s as (select doc_id, page_no, layout_class, size, sum(w) as w from w group by doc_id, page_no, layout_class, size qualify row_number() over (partition by doc_id, page_no, layout_class order by sum(w) desc, size desc) = 1),
+        o as (select doc_id, page_no, layout_class, color, sum(w) as w from w group by doc_id, page_no, layout_class, color qualify row_number() over (partition by doc_id, page_no, layout_class order by sum(w) desc, color desc) = 1),
+        a as (select doc_id, page_no, size as a, sum(w) as w from w group by doc_id, page_no, size qualify row_number() over (partition by doc_id, page_no order by sum(w) desc, size desc) = 1),
+        k as (select doc_id, page_no, color as c, sum(w) as w from w group by doc_id, page_no, color qualify row_number() over (partition by doc_id, page_no order by sum(w) desc, color desc) = 1),
+        l(layout_class, height, padding) as (values ('body', 1.42::double, 0.34::double), ('table', 1.24, 0.26), ('scattered', 1.30, 0.30)),
+        j as (select a.doc_id, a.page_no, l.layout_class, height, padding, a, coalesce(o.color, c) as color, coalesce(s.size, case l.layout_class when 'body' then a when 'table' then greatest(7, case when a > 9 then a - 1 else a end) else greatest(8, least(a, 12)) end) as size
+            from a join k using (doc_id, page_no) cross join l left join s on s.doc_id = a.doc_id and s.page_no = a.page_no and s.layout_class = l.layout_class left join o on o.doc_id = a.doc_id and o.page_no = a.page_no and o.layout_class = l.layout_class),
+        y as (select *, case layout_class when 'body' then greatest(9, least(size, 13)) when 'table' then greatest(7, least(size, greatest(a, 9.5))) else greatest(8, least(size, 12)) end::double as fontsize from j)
+        select doc_id, page_no, layout_class, fontsize, round(fontsize * height, 6) as line_height, color, '#' || lower(lpad(to_hex(color), 6, '0')) as color_hex, padding from y
+    """,
+    "kept_lines": rf"""
+        with {_BLOCKS}, b as (select doc_id, trim(line[1:20]) as p, 72.0::double + n % 4 * 6 as a, 72.0::double + n % 4 * 6 + least(n * 5.0::double, 400) as z from l where line_no < 5),
+        m as (select doc_id, p, case when doc_id % 3 = 0 then 500 - z + a else a end as x0, case when doc_id % 3 = 0 then 500 else z end as x1 from b),
+        g as (select doc_id, count(*) as n, avg(greatest(x0 - 60, 0)) as l, avg(greatest(500 - x1, 0)) as r, max(x0) - min(x0) as s0, max(x1) - min(x1) as s1, max(abs((x0 + x1) / 2 - 280)) as c, sum(length({sql.squeezed('p')})) as al, min(length({sql.squeezed('p')})) as le from m group by 1)
+        select doc_id from g where n between 2 and 8 and le > 0 and al <= 180 and s0 <= 25 and ((s1 <= 7 and s0 >= s1 + 8 and r <= 4.5) or (c <= 18 and abs(l - r) <= 10) or (not (s0 <= 7 and l <= r + 7) and s1 <= 7 and r < l))
+    """,
+    "repeated_columns": r"""
+        with d as (select l_orderkey as k, l_linenumber - 1 as n, min(l_returnflag) as f from lineitem group by 1, 2),
+        c as (select k % 7 as doc_id, k as block, n::bigint as line_no, f || ' ' || case when k % 3 = 0 then 'goes on' else 'Total.' end as plain, 80.0::double * (n % 2) + case when k % 5 = 0 then 9 * (n % 4) else 0 end as x0, 14.0::double * (n // 2) as y0 from d),
+        q as (select *, x0 + 60 as x1, coalesce(abs(y0 - lag(y0) over w) <= 3.5 and x0 >= lag(x0 + 60) over w - 0.5, false) as level from c window w as (partition by block order by line_no)),
+        r as (select *, sum(case when level then 0 else 1 end) over (partition by block order by line_no) as row from q),
+        g as (select doc_id, block, row, min(line_no) as line_no, min(y0) as y0, list(x0 order by line_no) as a, list(x1 order by line_no) as z, last(plain order by line_no) as tail, first(plain order by line_no) as head from r group by 1, 2, 3 having count(*) >= 2),
+        p as (select *, lead(line_no) over w as nl, lead(y0) over w as ny, lead(a) over w as na, lead(z) over w as nz, lead(head) over w as nh from g window w as (partition by block order by line_no)),
+        o as (select * from p where nl is not null and len(a) = len(na) and ny - y0 > 0.5 and ny - y0 <= 22 and abs(a[1] - na[1]) <= 3.5 and abs(z[len(z)] - nz[len(nz)]) <= 3.5
+            and len(list_filter(range(1, len(a) + 1), lambda i: not (abs(a[i] - na[i]) <= 3.5 or abs(z[i] - nz[i]) <= 3.5))) = 0 and len(list_filter(range(1, len(a)), lambda i: not (abs(z[i] - nz[i]) <= 3.5 and abs(a[i + 1] - na[i + 1]) <= 3.5))) = 0
+            and not (not regexp_matches(tail, '[.!?]$') and regexp_matches(nh, '^\p{Ll}')))
+        select doc_id, block, count(*) as n, min(line_no) as first from (select doc_id, block, line_no from o union select doc_id, block, nl from o) group by 1, 2
+    """,
+    "sentence_tails": rf"""
+        with {sql.LINES}, a as (select doc_id, line_no, regexp_replace({sql.collapsed('line')}, '(?i)(^|[^\p{{L}}\p{{N}}_])({'|'.join(fixed.ABBREVIATIONS).replace('.', chr(92) + '.')}|et\s+al)\.(\s)', '\1\2_\3', 'g') as p from lines),
+        p as (select doc_id, line_no, regexp_replace(p, '((?:^|[^\p{{L}}\p{{N}}_])[A-Za-z]\.[A-Za-z])\.(\s)', '\1_\2', 'g') as p from a),
+        t as (select doc_id, line_no, regexp_extract(p, '(?s)^(.*?[!-#%-''*./:;?@\\¡§¶·¿…‰′″)\]}}»’”][\"''’”)\]}}》〉」』]*(?:(?:\d{{1,3}}|[*†‡§¶]{{1,3}}))?)($|\s+[^\p{{L}}\p{{N}}]*[\p{{Lu}}\p{{N}}⺀-鿿].*$)', ['tail', 'rest']) as r from p)
+        select doc_id, line_no, length(r.tail) as n_tail, length(trim(r.rest)) as n_rest from t where r.tail <> '' and length(r.tail) <= 120
+    """,
+    "display_titles": rf"""
+        with i as (select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' ' || array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')
+            || case p_partkey % 4 when 0 then ' Bank' when 1 then ', ABC' else '' end as p from part), w as (select *, {shape_queries.words('p')} as w from i)
+        select p_partkey, 10 + p_partkey % 10 >= 15 and p_partkey // 10 % 3 >= 2 and p_partkey % 6 <> 0 and length(p) <= 180 and not regexp_matches(p, ',\s*[A-Z][A-Z0-9&.\-]{{1,11}}\s*$') and len(w) between 4 and 20
+            and lower(w[1]) not in {sql.names(policy.HONORIFICS)} and lower(w[len(w)]) not in {sql.names(fixed.IDENTITY_END_WORDS)} as is_title from w
+    """,
+    "reference_verdicts": "select c_custkey, case c_custkey % 7 when 1 then 'lead changed' when 2 then 'not translated' when 3 then 'identifiers changed' when 4 then 'numbers lost' when 5 then 'too little Chinese' when 6 then 'title not translated' end as reason from customer",
+    "merge_violations": rf"""
+        with t as (select conv_id as doc_id, turn, case when turn % 5 = 4 then 'table' else 'body' end as layout, {sql.collapsed('text')} as p, conv_id * 3 + turn * 5 as k from conversations),
+        d as (select a.doc_id, a.turn as decision_idx, a.k, a.layout as sl, b.layout as dl, b.p as dp, a.p as sp, regexp_extract(b.p, '[\p{{L}}\p{{N}}]') as f from t a left join t b on b.doc_id = a.doc_id and b.turn = a.turn + 1 where a.k % 9 <> 0),
+        s as (select *, case when f = '' then 'none' when regexp_matches(f, '^\p{{Ll}}') then 'lower' when regexp_matches(f, '^\p{{Lu}}') then 'upper' when regexp_matches(f, '^\p{{N}}') then 'digit' else 'letter' end as start from d),
+        v as (select doc_id, decision_idx, case when k % 7 = 0 then 'unknown-merge-kind' when k % 8 = 0 then 'accepted-reason' when dp is null then 'merge-evidence-missing' when sl <> 'body' or dl <> 'body' then 'body-layout'
+            when case when k % 4 = 0 then 'lower' else 'upper' end <> start then 'destination-start-metadata-mismatch' when {sql.ends_sentence('sp')} and start <> 'lower' then 'complete-source' when k % 5 = 0 then 'page-orientation' end as invariant from s)
+        select * from v where invariant is not null
+    """,
+    "paragraph_elements": f"""
+        with {_TEXTS}, w as (select elem_idx, x0, y0, x1, y1, content, case when elem_idx % 3 = 0 then string_split(content, ' ') end as ws from t),
+        u as (select elem_idx, x0, y0, ws, unnest(range(1, len(ws) + 1)) as i from w where ws is not null)
+        select elem_idx, i - 1 as part, ws[i] as content, x0 + 1 as x0, y0 + 12 * (i - 1) + 10 as y1 from u union all select elem_idx, 0, content, x0, y1 from w where ws is null
+    """,
 }

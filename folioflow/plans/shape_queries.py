@@ -189,6 +189,10 @@ _WORDS = r"list_transform(regexp_extract_all({x}, '\p{{L}}+(?:[''’\-]\p{{L}}+)
 _BARE = r"regexp_replace({x}, '\p{{L}}+(?:[''’\-]\p{{L}}+)*\.?', '', 'g')"
 
 
+def words(x: str) -> str:
+    return _WORDS.format(x=x)
+
+
 def _capitalised(ws: str, also: list[str] = ()) -> str:
     allowed = sql.names([*policy.NAME_CONNECTORS, *also])
     return rf"len(list_filter({ws}, lambda w: not (w = '' or lower(w) in {allowed} or regexp_matches(w, '^\p{{Lu}}')))) = 0"
