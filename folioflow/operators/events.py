@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,22 +14,50 @@ def _micros(ts: str) -> Column:
 
 
 def window_counts(events: DataFrame, seconds: int = 60, kinds: tuple[str, ...] = ("rate_limit", "error", "success"), *by: str) -> DataFrame:
-    """events (ts, kind) with n_<kind> over the last so many seconds, both ends and equal times included."""
+    """events (ts, kind) with n_<kind> over the last so many seconds, both ends and equal times included.
+
+    Without `by` all events are one stream, which is counted by blocks of time.
+    """
+    if not by:
+        return window_counts_by_block(events, seconds, *kinds)
     w = Window.partitionBy(*by).orderBy(_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumns({f"n_{k}": F.count_if(F.col("kind") == k).over(w) for k in kinds})
 
 
-def window_counts_by_block(events: DataFrame, seconds: int, kind: str) -> DataFrame:
+def window_counts_by_block(events: DataFrame, seconds: int, *kinds: str) -> DataFrame:
     """events with n_<kind> over the last so many seconds, without a window over the whole table.
 
-    Time is cut into blocks as long as the window. An event needs its own block and the one before, so each event of the kind is sent
+    Time is cut into blocks as long as the window. An event needs its own block and the one before, so each event of the kinds is sent
     to two blocks and blocks are computed apart: one stream of events isn't one task.
     """
     rows = events.withColumn("__at", _micros("ts")).withColumn("__block", F.expr(f"__at div {seconds * 1_000_000}"))
     own = rows.withColumn("__own", F.lit(True))
-    before = rows.filter(F.col("kind") == kind).withColumn("__block", F.col("__block") + 1).withColumn("__own", F.lit(False))
+    before = rows.filter(F.col("kind").isin(*kinds)).withColumn("__block", F.col("__block") + 1).withColumn("__own", F.lit(False))
     w = Window.partitionBy("__block").orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
-    return own.unionByName(before).withColumn(f"n_{kind}", F.count_if(F.col("kind") == kind).over(w)).filter("__own").drop("__at", "__block", "__own")
+    counted = own.unionByName(before).withColumns({f"n_{k}": F.count_if(F.col("kind") == k).over(w) for k in kinds})
+    return counted.filter("__own").drop("__at", "__block", "__own")
+
+
+def replayed(rows: DataFrame, keys: tuple[str, ...], start: Callable[[], dict], step: Callable[[dict, dict], dict], schema: pa.Schema) -> DataFrame:
+    """Rows of each key in order of seq, each turned into one by step(state, row), which changes the key's state.
+
+    Rows pass through in batches and only the state of the key at hand is held, so a key's history may be of any length; it is
+    one task's work, since each step needs the one before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (key := tuple(row[k] for k in keys)) != now:
+                    now, state = key, start()
+                out.append(step(state, row))
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    names = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean"}
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "seq")
+    return ordered.mapInArrow(run, ", ".join(f"{f.name} {names[f.type]}" for f in schema))
 
 
 def bursts(counted: DataFrame, kind: str = "rate_limit", least: int = 5) -> DataFrame:
@@ -56,57 +86,47 @@ def failover(requests: DataFrame, *, retry_primary_seconds: float = 300.0) -> Da
     service changes (switched, restored, all_dead).
     """
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        active, switched_at, alerted = 0, 0.0, "primary"
-        out = []
-        for r in rows.itertuples(index=False):
-            answers = (r.primary, r.backup)
-            probe = active != 0 and r.ts - switched_at >= retry_primary_seconds
-            order = (0, 1) if probe or active == 0 else (1, 0)
-            served, switched, dead = None, False, 0
-            for place, slot in enumerate(order):
-                answer = answers[slot]
-                if answer == "ok":
-                    served = slot
-                    if probe and slot == 0:
-                        active = 0
-                    break
-                if answer == "unusable":
-                    dead += 1
-                    if place == 0:
-                        active, switched_at, switched = order[1], r.ts, True
-                    continue
-                if probe and slot == 0:
-                    switched_at = r.ts
-                    continue
-                break
-            state = ("primary" if served == 0 and active == 0 else "backup" if served == 1 and active != 0 else None) if served is not None else "all_dead" if dead == 2 else None
-            alert = None
-            if state and state != alerted:
-                alerted, alert = state, {"primary": "restored", "backup": "switched", "all_dead": "all_dead"}[state]
-            out.append((r.stream, r.seq, "none" if served is None else ("primary", "backup")[served], ("primary", "backup")[active], switched, probe, alert))
-        return pd.DataFrame(out, columns=["stream", "seq", "served", "active", "switched", "probe", "alert"])
-
-    schema = "stream long, seq long, served string, active string, switched boolean, probe boolean, alert string"
-    return requests.groupBy("stream").applyInPandas(replay, schema)
+    slots = ("primary", "backup")
+
+    def step(now: dict, r: dict) -> dict:
+        probe = now["active"] != 0 and r["ts"] - now["since"] >= retry_primary_seconds
+        order = (0, 1) if probe or now["active"] == 0 else (1, 0)
+        served, dead, switched = None, 0, False
+        for slot in order:
+            answer = r[slots[slot]]
+            if answer == "ok":
+                served = slot
+                now["active"] = 0 if probe and slot == 0 else now["active"]
+            elif answer == "unusable":
+                dead += 1
+                if slot == order[0]:
+                    now["active"], now["since"], switched = order[1], r["ts"], True
+                continue
+            elif probe and slot == 0:
+                now["since"] = r["ts"]
+                continue
+            break
+        settled = served is not None and served == (now["active"] != 0)
+        state = slots[served] if settled else "all_dead" if dead == 2 else None
+        alert = {"primary": "restored", "backup": "switched", "all_dead": "all_dead"}[state] if state and state != now["alerted"] else None
+        now["alerted"] = state or now["alerted"]
+        return {"stream": r["stream"], "seq": r["seq"], "served": "none" if served is None else slots[served], "active": slots[now["active"] != 0], "switched": switched, "probe": probe, "alert": alert}
+
+    out = pa.schema([("stream", pa.int64()), ("seq", pa.int64()), ("served", pa.string()), ("active", pa.string()), ("switched", pa.bool_()), ("probe", pa.bool_()), ("alert", pa.string())])
+    return replayed(requests, ("stream",), lambda: {"active": 0, "since": 0.0, "alerted": "primary"}, step, out)
 
 
 def throttled(messages: DataFrame, *, min_interval: float = 600.0) -> DataFrame:
     """messages (stream, kind, seq, ts) with sent, and merged: how many were held back since the last one sent of the kind."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        last, held = None, 0
-        sent, merged = [], []
-        for ts in rows["ts"]:
-            goes = last is None or ts - last >= min_interval
-            sent.append(goes)
-            merged.append(held if goes else None)
-            last, held = (ts, 0) if goes else (last, held + 1)
-        return rows[["stream", "kind", "seq"]].assign(sent=sent, merged=pd.array(merged, dtype="Int64"))
+    def step(now: dict, r: dict) -> dict:
+        sent = now["last"] is None or r["ts"] - now["last"] >= min_interval
+        merged = now["held"] if sent else None
+        now.update(last=r["ts"], held=0) if sent else now.update(held=now["held"] + 1)
+        return {"stream": r["stream"], "kind": r["kind"], "seq": r["seq"], "sent": sent, "merged": merged}
 
-    return messages.groupBy("stream", "kind").applyInPandas(run, "stream long, kind string, seq long, sent boolean, merged long")
+    out = pa.schema([("stream", pa.int64()), ("kind", pa.string()), ("seq", pa.int64()), ("sent", pa.bool_()), ("merged", pa.int64())])
+    return replayed(messages, ("stream", "kind"), lambda: {"last": None, "held": 0}, step, out)
 
 
 def admitted(jobs: DataFrame, *, max_tasks: int = 8, max_bytes: int = 500 << 20) -> DataFrame:
@@ -115,20 +135,18 @@ def admitted(jobs: DataFrame, *, max_tasks: int = 8, max_bytes: int = 500 << 20)
     A task that already holds a place keeps it; otherwise both limits must allow it.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, held, verdicts = rows.sort_values("seq", kind="stable"), {}, []
-        for r in rows.itertuples(index=False):
-            if r.action == "release":
-                held.pop(r.task, None)
-                verdicts.append(None)
-                continue
-            fits = r.size >= 0 and (r.task in held or (len(held) < max_tasks and sum(held.values()) + r.size <= max_bytes))
-            if fits and r.task not in held:
-                held[r.task] = r.size
-            verdicts.append(bool(fits))
-        return rows[["queue", "seq", "task"]].assign(admitted=verdicts)
+    def step(held: dict, r: dict) -> dict:
+        fits = None
+        if r["action"] == "release":
+            held.pop(r["task"], None)
+        else:
+            fits = r["size"] >= 0 and (r["task"] in held or (len(held) < max_tasks and sum(held.values()) + r["size"] <= max_bytes))
+            if fits:
+                held.setdefault(r["task"], r["size"])
+        return {"queue": r["queue"], "seq": r["seq"], "task": r["task"], "admitted": fits}
 
-    return jobs.groupBy("queue").applyInPandas(run, "queue long, seq long, task long, admitted boolean")
+    out = pa.schema([("queue", pa.int64()), ("seq", pa.int64()), ("task", pa.int64()), ("admitted", pa.bool_())])
+    return replayed(jobs, ("queue",), dict, step, out)
 
 
 def enqueued(jobs: DataFrame, *keys: str) -> DataFrame:
@@ -144,22 +162,20 @@ def byte_batches(segments: DataFrame, *, max_bytes: int = 12_000) -> DataFrame:
     value and the separators.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seg_id", kind="stable")
-        batch, size, out = 0, 0, []
-        for n in rows["n_bytes"]:
-            grown = size + 2 + n if size else 2 + n
-            if size and grown > max_bytes:
-                batch, grown = batch + 1, 2 + n
-            size = grown
-            out.append(batch)
-        return rows[["doc_id", "seg_id"]].assign(batch_no=out)
+    def step(now: dict, r: dict) -> dict:
+        grown = now["size"] + 2 + r["n_bytes"]
+        if now["size"] and grown > max_bytes:
+            now.update(batch=now["batch"] + 1, size=0)
+            grown = 2 + r["n_bytes"]
+        now["size"] = grown
+        return {"doc_id": r["doc_id"], "seg_id": r["seq"], "batch_no": now["batch"]}
 
     def as_json(x: Column) -> Column:
         return F.octet_length(F.to_json(F.array(x))) - 2  # without the brackets
 
-    sized = segments.select("doc_id", "seg_id", (as_json(F.col("seg_id")) + 2 + as_json(F.col("source"))).cast("long").alias("n_bytes"))
-    return sized.groupBy("doc_id").applyInPandas(run, "doc_id long, seg_id string, batch_no int")
+    sized = segments.select("doc_id", F.col("seg_id").alias("seq"), (as_json(F.col("seg_id")) + 2 + as_json(F.col("source"))).cast("long").alias("n_bytes"))
+    out = pa.schema([("doc_id", pa.int64()), ("seg_id", pa.string()), ("batch_no", pa.int64())])
+    return replayed(sized, ("doc_id",), lambda: {"batch": 0, "size": 0}, step, out)
 
 
 def recovered(tasks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, ends_sentence
+from ..functions.text import collapsed, ends_sentence, let
 
 
 def cache_identity(*columns: str) -> Column:
@@ -51,23 +51,26 @@ def merged_islands(pairs: DataFrame) -> DataFrame:
 
 
 def word_grams(text: Column, n: int = 8) -> Column:
-    """Distinct runs of n words, in lower case."""
-    words = F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n words in lower case, as array<struct<a, b>> of two 64-bit hashes of the words."""
+
+    def of(words: Column) -> Column:
+        def run(i: Column) -> Column:
+            own = [words[i + k] for k in range(n)]
+            return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(n), *own).alias("b"))
+
+        return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - n), run)))
+
+    return let(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""), of)
 
 
 def containment(docs: DataFrame, passages: DataFrame, n: int = 8) -> DataFrame:
     """(doc_id, item_id, n_shared): documents that share runs of n words with a passage, and how many distinct ones.
 
-    Both sides meet on the hash of the run, then on the run; the passages' side is the small one and goes to all tasks if its
-    size allows, else both are shuffled.
+    Both sides meet on the two hashes of the run (128 bits, so that no two runs are taken for one); runs aren't built as strings. Spark
+    broadcasts the passages' side if its size allows, else both are shuffled.
     """
-    side = passages.select("item_id", F.explode(word_grams(F.col("text"), n)).alias("gram")).withColumn("h", F.xxhash64("gram"))
-    words = F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), "")
-    split = docs.select("doc_id", words.alias("w")).filter(F.size("w") >= n)
-    grams = split.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " ")))).alias("gram"))
-    return grams.withColumn("h", F.xxhash64("gram")).join(side, ["h", "gram"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    sides = [df.select(key, F.explode(word_grams(F.col("text"), n)).alias("g")).select(key, "g.*") for df, key in ((docs, "doc_id"), (passages, "item_id"))]
+    return sides[0].join(sides[1], ["a", "b"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
 
 
 def glossary_hits(docs: DataFrame, glossary: DataFrame) -> DataFrame:

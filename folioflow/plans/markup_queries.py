@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import mathtext, numbers
 from ..operators import events, segments
 from ..sources.tables import lines, shared_folder, table
+from . import sql
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +56,6 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (pages_strict_verdict, segments_tolerant, protect_roundtrip, byte_batches, page_languages, translation_coverage, line_numbers, math_lines)}
 ORACLES = {
+    "math_lines": f"with {sql.LINES}, t as (select doc_id, {sql.math_source('line')} as t from lines) select doc_id, count(*) as n_lines, count_if({sql.math_text('t')})::bigint as n_math from t group by 1",
     "page_languages": r"""select regexp_extract(html, '<html[^>]*\blang="([^"]*)"', 1) as page_lang, count(*) as n, sum(length(html))::bigint as n_chars from pages group by 1""",
 }

@@ -55,17 +55,17 @@ def ngram_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cached(docs: DataFrame) -> DataFrame:
-    """Every third document as if it had been translated before."""
-    return docs.filter("doc_id % 3 = 0").select(F.sha2("text", 256).alias("identity"), F.concat(F.lit("t"), "doc_id").alias("translation"))
+    """The English documents as if they had been translated before."""
+    return docs.filter("lang = 'en'").select(F.sha2("text", 256).alias("identity"), F.concat(F.lit("t"), "doc_id").alias("translation"))
 
 
 def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return joins.reuse(docs.select("doc_id", F.sha2("text", 256).alias("identity")), _cached(docs)).select("doc_id", "translation")
 
 
 def cache_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return joins.missing(docs.select("doc_id", F.sha2("text", 256).alias("identity")), _cached(docs), "identity").select("doc_id")
 
 
@@ -179,10 +179,10 @@ ORACLES = {
         select d.id as doc_id, b.id as item_id, count(*) as n_shared from g d join g b on d.gram = b.gram and d.side = 0 and b.side = 1 group by 1, 2
     """,
     "cache_reuse": """
-        with c as (select sha256(text) as identity, min('t' || doc_id) as translation from documents where doc_id % 3 = 0 group by 1 having count(*) = 1)
+        with c as (select sha256(text) as identity, min('t' || doc_id) as translation from documents where lang = 'en' group by 1 having count(*) = 1)
         select doc_id, translation from documents left join c on sha256(text) = identity
     """,
-    "cache_missing": "select doc_id from documents where sha256(text) not in (select sha256(text) from documents where doc_id % 3 = 0)",
+    "cache_missing": "select doc_id from documents where sha256(text) not in (select sha256(text) from documents where lang = 'en')",
     "request_shape": """
         select conv_id, coalesce(string_agg(text, chr(10) || chr(10) order by turn) filter (where role = 'system'), '') as system,
             coalesce(string_agg(role, ',' order by turn) filter (where role <> 'system'), '') as roles, count(*) filter (where role <> 'system') as n_messages,
