@@ -40,36 +40,55 @@ def deduplicated(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def cooldowns(stream: DataFrame, delay: float = 12.0) -> DataFrame:
-    """For each batch and stream the end of the latest pause that rate limits asked for: (stream, resume_after)."""
+def _until(state: GroupState, rows: pd.DataFrame, seconds: float) -> int:
+    """Milliseconds of event time so long after the rows."""
+    return max(state.getCurrentWatermarkMs(), int(1000 * rows["ts"].max().timestamp())) + int(1000 * seconds) + 1
+
+
+def cooldowns(stream: DataFrame, delay: float = 12.0, late: str | None = "10 minutes") -> DataFrame:
+    """For each batch and stream the end of the latest pause that rate limits asked for: (stream, resume_after). State goes once the
+    pause is over in event time; an event later than `late` is dropped (None: the stream has its bound)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         end = state.get[0] if state.exists else 0.0
+        seen = []
         for rows in frames:
+            seen.append(rows)
             limited = rows.loc[rows["kind"] == "rate_limit", "ts"]
             if len(limited):
                 end = max(end, limited.max().timestamp() + delay)
         state.update((end,))
+        state.setTimeoutTimestamp(_until(state, pd.concat(seen), delay))
         yield pd.DataFrame({"stream": [key[0]], "resume_after": [end]})
 
-    return stream.groupBy("stream").applyInPandasWithState(run, "stream long, resume_after double", "resume_after double", "update", GroupStateTimeout.NoTimeout)
+    return _bounded(stream, late).groupBy("stream").applyInPandasWithState(run, "stream long, resume_after double", "resume_after double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def throttled(stream: DataFrame, min_interval: float = 600.0) -> DataFrame:
-    """Messages that go out: at most one of a kind in an interval, with how many it stands for: (kind, event_id, ts, merged)."""
+def throttled(stream: DataFrame, min_interval: float = 600.0, late: str | None = None) -> DataFrame:
+    """Messages that go out: at most one of a stream's kind in an interval, with how many it stands for: (stream, kind, event_id, ts,
+    merged). The state of a silent key goes after the interval unless messages are held back in it. `late` as in cooldowns."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            if not state.get[1]:
+                state.remove()
+            return
         last, held = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
         for r in rows.itertuples():
             at = r.ts.timestamp()
             if last is None or at - last >= min_interval:
-                out.append((key[0], r.event_id, r.ts, held))
+                out.append((*key, r.event_id, r.ts, held))
                 last, held = at, 0
             else:
                 held += 1
         state.update((last, held))
-        yield pd.DataFrame(out, columns=["kind", "event_id", "ts", "merged"]).astype({"event_id": "int64", "merged": "int64", "ts": "datetime64[ns]"})
+        state.setTimeoutTimestamp(_until(state, rows, min_interval))
+        yield pd.DataFrame(out, columns=["stream", "kind", "event_id", "ts", "merged"]).astype({"stream": "int64", "event_id": "int64", "merged": "int64", "ts": "datetime64[ns]"})
 
-    return stream.groupBy("kind").applyInPandasWithState(run, "kind string, event_id long, ts timestamp, merged long", "last double, held long", "append", GroupStateTimeout.NoTimeout)
+    schema = "stream long, kind string, event_id long, ts timestamp, merged long"
+    return _bounded(stream, late).groupBy("stream", "kind").applyInPandasWithState(run, schema, "last double, held long", "append", GroupStateTimeout.EventTimeTimeout)
