@@ -24,9 +24,40 @@ def element_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.requires_translation(layout.classified(elements, pages)).groupBy("layout_class", "rule").agg(F.count("*").alias("n"))
 
 
-def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _merged(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    """Lines of documents, changed so that the rule finds something to merge: items with bullets, unfinished lines, headings, entries."""
     elements, pages = line_elements(table(spark, sf_dir, "documents"))
-    return layout.merged(elements, pages, "wrapped").select("doc_id", "page_no", F.col("elem_idx").cast("long").alias("elem_idx"), F.md5("content").alias("content"), F.col("n_merged").cast("long").alias("n_merged"))
+    k, line = F.col("elem_idx") % 3, F.col("content")
+    changed = {
+        "wrapped": (line, F.col("x0")),
+        "list": (F.when(k == 0, F.concat(F.lit("• "), line)).otherwise(line), F.when(k == 0, 72.0).otherwise(84.0)),
+        "strong": (F.when(k == 0, line).otherwise(F.lower(F.regexp_replace(line, r"[.!?]+\s*$", ""))), F.lit(72.0)),
+        "heading": (F.when(k < 2, F.upper(F.replace(F.substring(line, 1, 60), F.lit("ß"), F.lit("ss")))).otherwise(line), F.lit(72.0)),
+        "reference": (F.when(k == 0, F.concat(F.lit("Smith, J. (1999). "), line)).otherwise(F.lower(line)), F.when(k == 0, 72.0).otherwise(80.0)),
+    }[rule]
+    made = elements.withColumns({"content": changed[0], "x0": changed[1].cast("double")})
+    boxed = made.withColumns({"x1": F.least(F.col("x0") + 5.0 * F.length("content"), F.lit(540.0)), "y1": F.col("y0") + 11.0 * F.ceil(F.length("content") / 94)})
+    return layout.merged(boxed, pages, rule).select("doc_id", "page_no", F.col("elem_idx").cast("long").alias("elem_idx"), F.md5("content").alias("content"), F.col("n_merged").cast("long").alias("n_merged"))
+
+
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "wrapped")
+
+
+def merged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "list")
+
+
+def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "strong")
+
+
+def merged_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "heading")
+
+
+def merged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "reference")
 
 
 def page_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,16 +307,22 @@ def paragraph_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        layout_classes, element_rules, merged_lines, page_stamps, reading_ranks, cross_page, main_fonts, line_cells, block_paragraphs, block_alignment, touching_boxes, shallow_overlaps, images_outside, marker_targets, groups_above,
+        layout_classes, element_rules, merged_lines, merged_items, merged_blocks, merged_headings, merged_entries, page_stamps, reading_ranks, cross_page, main_fonts, line_cells, block_paragraphs, block_alignment, touching_boxes, shallow_overlaps, images_outside, marker_targets, groups_above,
         word_overlap, glossary_hits, tabular, frozen_tables, formula_summary, warnings, fallback_closure, glyphs, formula_stubs, page_styles, kept_lines, repeated_columns,
         sentence_tails, display_titles, reference_verdicts, merge_violations, paragraph_elements,
     )
 }
 
-_ELEMENTS = rf"""
-    {sql.LINES}, b as (select ('0x' || md5(source)[1:12])::bigint as doc_id, doc_id as page_no, line_no as elem_idx, line as content, length(line) as len, 72.0 + case when length(line) < 40 then length(line) % 5 * 4 else 0 end as x0, 72.0 + 14 * (line_no % 48) as y0 from lines),
+
+
+def _elements_sql(content: str = "line", x0: str = "72.0 + case when length(line) < 40 then length(line) % 5 * 4 else 0 end") -> str:
+    return rf"""
+    {sql.LINES}, b as (select ('0x' || md5(source)[1:12])::bigint as doc_id, doc_id as page_no, line_no as elem_idx, {content} as content, length({content}) as len, {x0} as x0, 72.0 + 14 * (line_no % 48) as y0 from lines),
     e as (select doc_id, page_no, elem_idx, content, len, x0::double as x0, y0::double as y0, least(x0 + 5.0 * len, 540)::double as x1, (y0 + 11.0 * ceil(len / 94))::double as y1, {sql.collapsed('content')} as p from b)
 """
+
+
+_ELEMENTS = _elements_sql()
 _CLASSES = rf"""
     {_ELEMENTS}, m as (select *, length(p) as n, (y0 + y1) / 2 / 792 as cy, (x1 - x0) / 612 as wide, {sql.disclaimer('p')} as out from e),
     z as (select doc_id, page_no, count(*) as n_mid, min(x0) as zx0, min(y0) as zy0, max(x1) as zx1, max(y1) as zy1 from m where n > 0 and not out and cy between 0.20 and 0.88 and n <= 140 and wide <= 0.45 group by 1, 2),
@@ -300,6 +337,29 @@ _MARKER = r"(length(t) <= 12 and regexp_full_match(t, '[•▪●◦⁃∙\-*·]
 _HEADING = r"(length(t) <= 130 and len(regexp_extract_all(t, '\p{L}')) >= 4 and len(regexp_extract_all(t, '\p{Lu}')) >= 0.8 * len(regexp_extract_all(t, '\p{L}')))"
 _YEAR = r"(?:18\d{2}|19\d{2}|20[0-2]\d)[a-z]?"
 _REFERENCE = rf"(length(t) >= 18 and regexp_matches(t, '^\p{{Lu}}') and regexp_matches(t[1:180], '(^|[^\d]){_YEAR}([^\d]|$)') and regexp_matches(t[1:180], '([,(&]|(?i:\b(?:and|et\s+al)\b)).*?{_YEAR}'))"
+_PLAIN = "b.t <> '' and not b.lead and not b.marker and not b.heading"
+_BELOW = "b.y0 - g.y1 between -{up} * least(g.y1 - g.y0, b.y1 - b.y0) and {most}"
+_SHARED = "greatest(least(g.x1, b.x1) - greatest(g.x0, b.x0), 0) / greatest(least(g.x1 - g.x0, b.x1 - b.x0), 1)"
+
+
+def _merged_sql(opens: str, goes_on: str, elements: str = _ELEMENTS) -> str:
+    """Groups of a page's lines in order: opens (over a line) lets a group begin, goes_on (over the last line g of a group, and the next
+    line b) lets it grow."""
+    return rf"""
+        with recursive {elements}, o as (select *, trim(regexp_replace(content, '\s+', ' ', 'g')) as t from e),
+        i as (select *, {_LEAD} as lead, {_MARKER} as marker, {_HEADING} as heading, {_REFERENCE} as entry, row_number() over (partition by doc_id, page_no order by y0, x0, elem_idx) as r from o),
+        k as (select *, ({opens}) as opens from i),
+        g as (
+            select doc_id, page_no, r, elem_idx as head, opens, heading, x0 as first_x, null::double as rest_x, x0, y0, x1, y1, t from k where r = 1
+            union all
+            select b.doc_id, b.page_no, b.r, case when m.go then g.head else b.elem_idx end, case when m.go then g.opens else b.opens end, case when m.go then g.heading else b.heading end, case when m.go then g.first_x else b.x0 end,
+                case when m.go then least(coalesce(g.rest_x, b.x0), b.x0) end, b.x0, b.y0, b.x1, b.y1, b.t
+            from g join k b on b.doc_id = g.doc_id and b.page_no = g.page_no and b.r = g.r + 1, lateral (select g.opens and {goes_on} as go) m
+        )
+        select doc_id, page_no, head as elem_idx, md5(coalesce(string_agg(t, ' ' order by r) filter (where t <> ''), '')) as content, count(*) as n_merged from g group by 1, 2, 3
+    """
+
+
 _TEXTS = """
     t as (select p_partkey % 4 as doc_id, p_partkey % 6 as page_no, p_partkey as elem_idx, p_name as content, (p_partkey * 37 % 500)::double as x0, (p_partkey * 53 % 700)::double as y0, (p_partkey * 37 % 500)::double + 60 + p_partkey % 7 as x1, (p_partkey * 53 % 700)::double + 12 + p_partkey % 5 as y1 from part),
     s as (select s_suppkey % 4 as doc_id, s_suppkey % 6 as page_no, s_suppkey as table_idx, (s_suppkey * 3 * 37 % 500)::double as sx0, (s_suppkey * 3 * 53 % 700)::double as sy0, (s_suppkey * 3 * 37 % 500)::double + 90 + s_suppkey * 3 % 7 as sx1, (s_suppkey * 3 * 53 % 700)::double + 12 + s_suppkey * 3 % 5 as sy1 from supplier),
@@ -322,21 +382,17 @@ ORACLES = {
             when regexp_matches(p, '^\d{{1,2}}/\d{{1,2}}/\d{{4}}$') then 'date' when {shape_queries.IS_LABEL} then 'translate' when {shape_queries.IS_NAME} then 'proper_name' when {shape_queries.IS_TINY} then 'tiny_label' else 'translate' end as rule from w)
         select layout_class, rule, count(*) as n from g group by 1, 2
     """,
-    "merged_lines": rf"""
-        with recursive {_ELEMENTS}, o as (select *, trim(regexp_replace(content, '\s+', ' ', 'g')) as t from e),
-        k as (select *, {_LEAD} as lead, {_MARKER} as marker, {_HEADING} as heading, {_REFERENCE} as entry, row_number() over (partition by doc_id, page_no order by y0, x0, elem_idx) as r from o),
-        g as (
-            select doc_id, page_no, r, elem_idx as head, (lead or length(t) >= 45) as opens, x0 as first_x, null::double as rest_x, x0, y0, x1, y1, t from k b where r = 1
-            union all
-            select b.doc_id, b.page_no, b.r, case when m.go then g.head else b.elem_idx end, case when m.go then g.opens else b.lead or length(b.t) >= 45 end, case when m.go then g.first_x else b.x0 end,
-                case when m.go then least(coalesce(g.rest_x, b.x0), b.x0) end, b.x0, b.y0, b.x1, b.y1, b.t
-            from g join k b on b.doc_id = g.doc_id and b.page_no = g.page_no and b.r = g.r + 1, lateral (select g.opens and b.t <> '' and not b.lead and not b.marker and not b.heading
-                and b.y0 - g.y1 between -0.35 * least(g.y1 - g.y0, b.y1 - b.y0) and greatest(14.5, 8, 1.3 * greatest(g.y1 - g.y0, b.y1 - b.y0, 1))
-                and greatest(least(g.x1, b.x1) - greatest(g.x0, b.x0), 0) / greatest(least(g.x1 - g.x0, b.x1 - b.x0), 1) >= 0.35 and abs(b.x0 - g.x0) <= greatest(50, 42, 0.14 * 612)
-                and not coalesce(b.x0 - g.rest_x >= 18, false) and not (abs(b.x0 - g.first_x) <= 5 and b.entry) as go) m
-        )
-        select doc_id, page_no, head as elem_idx, md5(string_agg(t, ' ' order by r) filter (where t <> '')) as content, count(*) as n_merged from g group by 1, 2, 3
-    """,
+    "merged_lines": _merged_sql(
+        "lead or length(t) >= 45", f"{_PLAIN} and {_BELOW.format(up=0.35, most='greatest(14.5, 8, 1.3 * greatest(g.y1 - g.y0, b.y1 - b.y0, 1))')} and {_SHARED} >= 0.35 and abs(b.x0 - g.x0) <= greatest(50, 42, 0.14 * 612) and not coalesce(b.x0 - g.rest_x >= 18, false) and not (abs(b.x0 - g.first_x) <= 5 and b.entry)"
+    ),
+    "merged_items": _merged_sql("lead", f"{_PLAIN} and {_BELOW.format(up=0.25, most='11.5')} and {_SHARED} >= 0.30 and b.x0 - g.first_x between 4.5 and greatest(55, 48, 0.16 * 612)", _elements_sql("case when line_no % 3 = 0 then '• ' || line else line end", "case when line_no % 3 = 0 then 72 else 84 end")),
+    "merged_blocks": _merged_sql(
+        "length(t) >= 35", rf"length(g.t) >= 8 and length(b.t) >= 12 and not regexp_matches(g.t, '[.!?。！？][\"''’”）)\]]*$') and not regexp_matches(g.t || b.t, '[.․‥…·]{{6,}}') and not b.lead and not b.marker and {_BELOW.format(up=0.40, most='5.5')} and {_SHARED} >= 0.35 "
+        r"and b.x0 - g.x0 between -3.5 and greatest(40, 32, 0.08 * 612) and (not regexp_matches(regexp_replace(b.t, '^[\s\"''“”‘’(\[]+', ''), '^[\p{Lu}\p{Nd}]') or b.x0 - g.x0 >= 8)",
+        _elements_sql(r"case when line_no % 3 = 0 then line else lower(regexp_replace(line, '[.!?]+\s*$', '')) end", "72"),
+    ),
+    "merged_headings": _merged_sql("t <> ''", f"g.heading and b.heading and not b.lead and {_BELOW.format(up=0.35, most='8')}", _elements_sql("case when line_no % 3 < 2 then upper(replace(line[1:60], 'ß', 'ss')) else line end", "72")),
+    "merged_entries": _merged_sql("entry", rf"b.t <> '' and {_BELOW.format(up=0.35, most='12')} and (b.x0 >= g.first_x + 5 or not (b.entry or regexp_matches(b.t, '^\p{{Lu}}')))", _elements_sql("case when line_no % 3 = 0 then 'Smith, J. (1999). ' || line else lower(line) end", "case when line_no % 3 = 0 then 72 else 80 end")),
     "page_stamps": rf"""
         with {_ELEMENTS}, t as (select doc_id, page_no, elem_idx, lower(p) as t from e where length(p) between 4 and 120), n as (select doc_id, count(distinct page_no) as n_pages from e group by 1),
         r as (select doc_id, t from t join n using (doc_id) group by 1, 2, n_pages having count(distinct page_no) >= case when n_pages <= 6 then 2 else 3 end)

@@ -25,7 +25,7 @@ CASES = [
     (T.is_structured_row, {"01/16/26 QTSII 2026-1A A2": True, "12 June 2026": False, "FIGURE 3": False, "PLEASE SEE 37.": False, "A2": False}),
     (T.is_tiny_label, {"Kevin": True, "Kevin Houstoun": True, "A longer label here": False, "12": False}),
     (T.is_short_citation, {"29 Hasbrouck & Saar (2011).": True, "Hasbrouck (2011)": True, "Price Level (2011)": False, "as shown (2011)": False, "Smith et al. (2010a), pp. 3-4": True, "Smith (2010) and Doe (2011)": False}),
-    (T.translatable_rule, {"": "empty", "12 34 %": "no_letters", "é": "no_words", "a": "single_letters", "GDP": "acronym", "A real sentence here.": None, "12/01/26 AB1 C2 9": "structured_row"}),
+    (T.translatable_rule, {"": "empty", "12 34 %": "no_letters", "é": "no_words", "a": "single_letters", "GDP": "acronym", "A real sentence here.": None, "12/01/26 AB1 C2 9": "math", "12.01.26 ANNA 2B 9": "structured_row", "x = y + 2": "math", r"\\frac{a}{b} of it": "math", "Saar (2011).": "citation"}),
 ]
 
 
