@@ -51,14 +51,14 @@ def merged_islands(pairs: DataFrame) -> DataFrame:
 
 
 def word_grams(text: Column, n: int = 8) -> Column:
-    """Distinct runs of n words in lower case, as array<struct<a, b>> of two 64-bit hashes of the words."""
+    """Runs of n words in lower case, as array<struct<a, b>> of two 64-bit hashes of the words."""
 
     def of(words: Column) -> Column:
         def run(i: Column) -> Column:
             own = [words[i + k] for k in range(n)]
             return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(n), *own).alias("b"))
 
-        return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - n), run)))
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), run))
 
     return let(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""), of)
 
@@ -67,10 +67,11 @@ def containment(docs: DataFrame, passages: DataFrame, n: int = 8) -> DataFrame:
     """(doc_id, item_id, n_shared): documents that share runs of n words with a passage, and how many distinct ones.
 
     Both sides meet on the two hashes of the run (128 bits, so that no two runs are taken for one); runs aren't built as strings. Spark
-    broadcasts the passages' side if its size allows, else both are shuffled.
+    broadcasts the passages' side if its size allows, else both are shuffled. Repeats fall away among the runs that met.
     """
     sides = [df.select(key, F.explode(word_grams(F.col("text"), n)).alias("g")).select(key, "g.*") for df, key in ((docs, "doc_id"), (passages, "item_id"))]
-    return sides[0].join(sides[1], ["a", "b"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    met = sides[0].join(sides[1].distinct(), ["a", "b"]).groupBy("doc_id", "item_id", "a", "b").agg(F.lit(1))
+    return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
 
 
 def glossary_hits(docs: DataFrame, glossary: DataFrame) -> DataFrame:
