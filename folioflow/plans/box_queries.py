@@ -304,12 +304,29 @@ def paragraph_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("elem_idx", F.col("part").cast("long").alias("part"), "content", "x0", "y1")
 
 
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a page as the cells of one table: their rows and columns."""
+    texts = _texts(spark, sf_dir).select("doc_id", "page_no", F.lit(0).alias("region"), F.col("elem_idx").cast("int").alias("elem_idx"), "box.*", "fontsize")
+    return layout.table_cells(texts).select(*(F.col(c).cast("long").alias(c) for c in ("elem_idx", "row_no", "col_no")))
+
+
+def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts in columns, on pages of which some say that they list members."""
+    k = F.col("p_partkey")
+    y0 = 14.0 * (k % 47)
+    elements = table(spark, sf_dir, "part").select(
+        (k % 3).alias("doc_id"), (k % 4).alias("page_no"), k.alias("elem_idx"), F.when(k % 24 == 0, "List of members").when(k % 11 == 0, F.col("p_name")).otherwise(F.initcap("p_name")).alias("content"),
+        (k % 2 * 200.0).alias("x0"), y0.alias("y0"), (y0 + 10).alias("y1"), F.lit(10.0).alias("fontsize"), F.lit(False).alias("bold"), F.when(k % 13 == 0, "body").otherwise("table").alias("layout_class"),
+    )
+    return policy.entity_rows(elements).select("elem_idx")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         layout_classes, element_rules, merged_lines, merged_items, merged_blocks, merged_headings, merged_entries, page_stamps, reading_ranks, cross_page, main_fonts, line_cells, block_paragraphs, block_alignment, touching_boxes, shallow_overlaps, images_outside, marker_targets, groups_above,
         word_overlap, glossary_hits, tabular, frozen_tables, formula_summary, warnings, fallback_closure, glyphs, formula_stubs, page_styles, kept_lines, repeated_columns,
-        sentence_tails, display_titles, reference_verdicts, merge_violations, paragraph_elements,
+        sentence_tails, display_titles, reference_verdicts, merge_violations, paragraph_elements, table_cells, directories,
     )
 }
 
@@ -529,4 +546,33 @@ ORACLES = {
         u as (select elem_idx, x0, y0, ws, unnest(range(1, len(ws) + 1)) as i from w where ws is not null)
         select elem_idx, i - 1 as part, ws[i] as content, x0 + 1 as x0, y0 + 12 * (i - 1) + 10 as y1 from u union all select elem_idx, 0, content, x0, y1 from w where ws is null
     """,
+    "table_cells": f"""
+        with recursive {_TEXTS}, o as (select doc_id, page_no, elem_idx, x0, y0, row_number() over (partition by doc_id, page_no order by y0, x0) as r, row_number() over (partition by doc_id, page_no order by x0) as c from t),
+        b as (select doc_id, page_no, elem_idx, r, y0, 0 as band, y0 as total, 1 as n from o where r = 1
+            union all select o.doc_id, o.page_no, o.elem_idx, o.r, o.y0, case when m.go then b.band else b.band + 1 end, case when m.go then b.total + o.y0 else o.y0 end, case when m.go then b.n + 1 else 1 end
+            from b join o on o.doc_id = b.doc_id and o.page_no = b.page_no and o.r = b.r + 1, lateral (select abs(o.y0 - b.total / b.n) <= 4.2::double as go) m),
+        a as (select doc_id, page_no, c, x0 as anchor from o where c = 1
+            union all select o.doc_id, o.page_no, o.c, case when o.x0 - a.anchor > 14 then o.x0 else a.anchor end from a join o on o.doc_id = a.doc_id and o.page_no = a.page_no and o.c = a.c + 1),
+        h as (select doc_id, page_no, band, avg(y0) as top from b group by 1, 2, 3),
+        g as (select *, top - lag(top) over (partition by doc_id, page_no order by band) as gap from h),
+        p as (select doc_id, page_no, list_sort(list(gap) filter (where gap is not null)) as gaps from g group by 1, 2),
+        q as (select *, least(list_aggregate(gaps[1:(len(gaps) + 1) // 2], 'median'), 14) as pitch from p),
+        w as (select g.doc_id, g.page_no, band, coalesce(gap > greatest(1.35::double * pitch, pitch + 0.3::double * 10), false) as wide from g join q using (doc_id, page_no)),
+        v as (select *, bool_or(wide) over (partition by doc_id, page_no) as parted from w),
+        z as (select doc_id, page_no, band, sum(case when band = 0 or wide or not parted then 1 else 0 end) over (partition by doc_id, page_no order by band) - 1 as row_no from v),
+        k as (select doc_id, page_no, anchor, row_number() over (partition by doc_id, page_no order by anchor) - 1 as col from (select distinct doc_id, page_no, anchor from a)),
+        f as (select o.elem_idx, arg_min(k.col, (abs(k.anchor - o.x0), k.col)) as col, min(abs(k.anchor - o.x0)) as far from o join k using (doc_id, page_no) group by 1)
+        select b.elem_idx, z.row_no::bigint as row_no, case when far <= 28 then col end as col_no from b join z using (doc_id, page_no, band) join f on f.elem_idx = b.elem_idx
+    """,
+    "directories": rf"""
+        with e as (select p_partkey % 3 as doc_id, p_partkey % 4 as page_no, p_partkey as k, case when p_partkey % 24 = 0 then 'List of members' when p_partkey % 11 = 0 then p_name else array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') end as p,
+            p_partkey % 2 * 200.0::double as x0, 14.0::double * (p_partkey % 47) as y0 from part),
+        l as (select distinct doc_id, page_no from e where p = 'List of members'),
+        r as (select doc_id, page_no, k, x0, y0, regexp_replace(p, '\s+[a-z]\s*$', '') as p from e join l using (doc_id, page_no) where k % 13 <> 0 and length(p) between 1 and 90),
+        w as (select *, {shape_queries.words('p')} as w from r),
+        f as (select * from w where len(w) between 1 and 10 and {shape_queries.capitalised('w')} and regexp_matches({shape_queries.bare('p')}, '^[\s,&''’()\-./]*$')),
+        c as (select *, case when x0 - lag(x0) over (partition by doc_id, page_no order by x0, y0, k) > 15 then 1 else 0 end as cut from f), d as (select *, sum(cut) over (partition by doc_id, page_no order by x0, y0, k) as col from c),
+        g as (select *, case when y0 - lag(y0 + 10) over (partition by doc_id, page_no, col order by y0, k) > 50 then 1 else 0 end as far from d), u as (select *, sum(far) over (partition by doc_id, page_no, col order by y0, k) as run from g)
+        select k as elem_idx from u qualify count(*) over (partition by doc_id, page_no, col, run) >= 5
+    """,
 }

@@ -193,7 +193,11 @@ def words(x: str) -> str:
     return _WORDS.format(x=x)
 
 
-def _capitalised(ws: str, also: list[str] = ()) -> str:
+def bare(x: str) -> str:
+    return _BARE.format(x=x)
+
+
+def capitalised(ws: str, also: list[str] = ()) -> str:
     allowed = sql.names([*policy.NAME_CONNECTORS, *also])
     return rf"len(list_filter({ws}, lambda w: not (w = '' or lower(w) in {allowed} or regexp_matches(w, '^\p{{Lu}}')))) = 0"
 
@@ -206,8 +210,8 @@ def label_steps(columns: str, base: str) -> str:
     """
 
 
-IS_CONTACT = rf"(length(p) <= 120 and no_phone <> p and len(cw) between 1 and 8 and {_capitalised('cw', policy.ORGANISATION_WORDS)} and regexp_matches({_BARE.format(x='no_phone')}, '^[\s,;:.&''’()\[\]/\\-]*$'))"
-IS_NAME = rf"""(length(name) between 1 and 80 and len(nw) between 1 and 8 and {_capitalised('nw')} and regexp_matches({_BARE.format(x='name')}, '^[\s,&''’\-]*$') and (
+IS_CONTACT = rf"(length(p) <= 120 and no_phone <> p and len(cw) between 1 and 8 and {capitalised('cw', policy.ORGANISATION_WORDS)} and regexp_matches({_BARE.format(x='no_phone')}, '^[\s,;:.&''’()\[\]/\\-]*$'))"
+IS_NAME = rf"""(length(name) between 1 and 80 and len(nw) between 1 and 8 and {capitalised('nw')} and regexp_matches({_BARE.format(x='name')}, '^[\s,&''’\-]*$') and (
     len(list_filter(nw, lambda x: lower(x) in {sql.names(policy.ORGANISATION_WORDS)})) > 0 or (len(nw) >= 2 and lower(nw[1]) in {sql.names(policy.HONORIFICS)})
     or (len(nw) = 1 and regexp_matches(nw[1], '^\p{{Lu}}') and regexp_matches(nw[1], '[^\x00-\x7f]')) or (len(nw) = 1 and regexp_full_match(nw[1], '\p{{Lu}}{{9,24}}')) or regexp_matches(name, ',\s*[A-Z][A-Z0-9&.\-]{{1,11}}\s*$')
     or (len(nw) >= 2 and len(list_filter(nw[1:len(nw) - 1], lambda x: lower(x) not in {sql.names(policy.NAME_CONNECTORS)})) = 0 and regexp_matches(nw[len(nw)], '^\p{{Lu}}'))
