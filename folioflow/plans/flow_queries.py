@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, markup, placeholders, validation
+from ..functions import fixed, markup, numbers, placeholders, validation
 from ..functions import service as S
 from ..operators import events as E
 from ..operators import joins, segments
@@ -269,11 +269,49 @@ def envelope_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n long, same boolean, turned boolean")
 
 
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of a table of figures: thousands, parentheses, signs, a date, a short year, currencies."""
+    n, day = (F.col("o_orderkey") % 900 + 100).cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    year = F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0")
+    row = F.concat(F.lit("Qty "), n, F.lit(",250 ("), n, F.lit(".5%) -"), n, F.lit(".25 "), day, F.lit(" '"), year, F.lit(" EUR"), n, F.lit(" PKR-"), n, F.lit(".0 n.a."))
+    return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), row.alias("row"))
+
+
+def spelt_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = numbers.with_numbers(_figures(spark, sf_dir), "row")
+    return found.select("o_orderkey", F.array_join("numbers", "|").alias("numbers"))
+
+
+def number_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations of rows and labels that keep their figures, drop one, gain some, or are prose."""
+    k, n, row = F.col("o_orderkey") % 5, F.col("n"), F.col("row")
+    source = F.when(k < 3, row).when(k == 3, "Total demand of the fund").otherwise(F.concat(F.lit("They sold "), n, F.lit(" units in all of that time")))
+    said = F.when(k == 0, F.replace(row, F.lit("Qty"), F.lit("数量"))).when(k == 1, F.replace(F.replace(row, F.lit("Qty"), F.lit("数量")), F.lit(" PKR-"), F.lit(" "))).when(k == 2, "这是一行数据，没有可翻译的句子。").when(k == 3, F.concat(F.lit("总需求 "), n, F.lit(" 2.5 3.5"))).otherwise(F.concat(F.lit("共售出"), n, F.lit("件")))
+    made = _figures(spark, sf_dir).select("o_orderkey", source.alias("source"), said.alias("said"))
+    return numbers.with_guard(made, "source", "said", "failure").select("o_orderkey", "failure")
+
+
+def kept_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs before amounts that a translation keeps near a figure, parts from it, or drops; and English that it leaves."""
+    k, n = F.col("o_orderkey") % 4, F.col("n")
+    source = F.concat(F.lit("worth +$"), n, F.lit("bn in all of these years"))
+    said = F.when(k == 0, F.concat(F.lit("价值+约"), n, F.lit("亿"))).when(k == 1, F.concat(F.lit("价值+，共"), n, F.lit("亿"))).when(k == 2, F.concat(F.lit("价值约"), n, F.lit("亿"))).otherwise(F.concat(F.lit("价值+"), n, F.lit("亿 which is what they said in all of it 吗")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [numbers.sign_lost(["+"], s, t) for s, t in zip(b.column("source").to_pylist(), b.column("said").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "failure"])
+
+    made = _figures(spark, sf_dir).select("o_orderkey", source.alias("source"), said.alias("said"))
+    judged = validation.with_leaks(made.mapInArrow(run, "o_orderkey long, source string, said string, failure string"), "source", "said")
+    return judged.select("o_orderkey", "failure", F.array_join("leaks", "|").alias("leaks"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         cache_identities, checkpoint_reuse, line_batches, throttle, admission, failover_replay, first_jobs, restarts, retry_delays, failure_classes, outcome_coverage, best_candidates, translation_verdicts, page_verdicts, updated_records,
-        ledger_totals, saved_caches, recognised, archived_pages, rendered_pages, markup_profile, segment_flags, placeholder_roundtrip, envelope_roundtrip,
+        ledger_totals, saved_caches, recognised, archived_pages, rendered_pages, markup_profile, segment_flags, placeholder_roundtrip, envelope_roundtrip, spelt_numbers, number_guards, kept_signs,
     )
 }
 
@@ -396,4 +434,10 @@ ORACLES = {
         select doc_id, count(*) as n_lines, sum(n)::bigint as n_tokens, count(*) as n_same, sum(n)::bigint as n_leaks from m group by 1
     """,
     "envelope_roundtrip": f"with {sql.LINES} select doc_id, count(*) as n, true as same, count(*) = 1 as turned from lines group by 1",
+    "spelt_numbers": """
+        with n as (select o_orderkey, o_orderkey % 900 + 100 as n, o_orderdate as d, lpad((o_orderkey % 100)::varchar, 2, '0') as y from orders)
+        select o_orderkey, n || '250|-' || n || '.5%|-' || n || '.25|D' || year(d) || '-' || month(d) || '-' || day(d) || '|Y' || y || '|' || n || '|-' || n || '.0' as numbers from n
+    """,
+    "number_guards": "select o_orderkey, case o_orderkey % 5 when 1 then 'numeric-row-numbers-changed' when 2 then 'numeric-row-numbers-changed' when 3 then 'label-acquired-numbers' end as failure from orders",
+    "kept_signs": "select o_orderkey, case when o_orderkey % 4 in (1, 2) then 'prose-number-missing' end as failure, case when o_orderkey % 4 = 3 then 'which is what they said in all of it' else '' end as leaks from orders",
 }
