@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -307,11 +308,38 @@ def kept_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("o_orderkey", "failure", F.array_join("leaks", "|").alias("leaks"))
 
 
+def repaired_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that lost an empty anchor, kept a dropped initial, flattened a raised mark, or are no answer: what is made of them."""
+
+    def segment(raw: str) -> markup.Segment:
+        text, fragments = markup.protected(raw)
+        return markup.Segment("s000001", 0, len(raw), "p", text, raw, fragments)
+
+    def judged(k: int) -> tuple:
+        anchored, initial = segment(f'<span id="p{k}"/>Some words <b>here {k}</b>'), segment(f'<span class="d">B</span>y {k} they had left')
+        (_, b, c), (d, e) = ([t for t, _ in x.fragments] for x in (anchored, initial))
+        said = f"一些{b}这里 {k}{c}" if k % 3 else ("" if k % 2 else f"Some words {b}here{c}")
+        verdicts = markup.read_response(json.dumps({anchored.id: said}), [anchored])
+        kept = verdicts.accepted.get(anchored.id)
+        moved = markup.moved_initial(initial, f"{d}B{e}到 {k} 年")
+        raised = validation.restored_marks(f"mass<sup>{k}</sup> and {k}", f"质量{k} 和 {k}")
+        return k, kept and markup.restored(anchored, kept), verdicts.failures.get(anchored.id), anchored.id in verdicts.repaired, markup.restored(initial, moved), raised
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [judged(k) for k in batch.column("p_partkey").to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            types = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["p_partkey", "accepted", "failure", "repaired", "initial", "raised"])
+
+    return table(spark, sf_dir, "part").select("p_partkey").mapInArrow(run, "p_partkey long, accepted string, failure string, repaired boolean, initial string, raised string")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         cache_identities, checkpoint_reuse, line_batches, throttle, admission, failover_replay, first_jobs, restarts, retry_delays, failure_classes, outcome_coverage, best_candidates, translation_verdicts, page_verdicts, updated_records,
-        ledger_totals, saved_caches, recognised, archived_pages, rendered_pages, markup_profile, segment_flags, placeholder_roundtrip, envelope_roundtrip, spelt_numbers, number_guards, kept_signs,
+        ledger_totals, saved_caches, recognised, archived_pages, rendered_pages, markup_profile, segment_flags, placeholder_roundtrip, envelope_roundtrip, spelt_numbers, number_guards, kept_signs, repaired_segments,
     )
 }
 
@@ -440,4 +468,9 @@ ORACLES = {
     """,
     "number_guards": "select o_orderkey, case o_orderkey % 5 when 1 then 'numeric-row-numbers-changed' when 2 then 'numeric-row-numbers-changed' when 3 then 'label-acquired-numbers' end as failure from orders",
     "kept_signs": "select o_orderkey, case when o_orderkey % 4 in (1, 2) then 'prose-number-missing' end as failure, case when o_orderkey % 4 = 3 then 'which is what they said in all of it' else '' end as leaks from orders",
+    "repaired_segments": """
+        select p_partkey as p_partkey, case when p_partkey % 3 > 0 then '<span id="p' || p_partkey || '"/>一些<b>这里 ' || p_partkey || '</b>' end as accepted,
+            case when p_partkey % 3 = 0 then case when p_partkey % 2 = 1 then 'empty or non-string translation' else 'insufficient Chinese coverage (0 < 1)' end end as failure, p_partkey % 3 > 0 or p_partkey % 2 = 0 as repaired,
+            '<span class="d">到</span> ' || p_partkey || ' 年' as initial, '质量<sup>' || p_partkey || '</sup> 和 ' || p_partkey as raised from part
+    """,
 }
