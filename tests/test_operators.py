@@ -146,3 +146,11 @@ def test_terms(spark):
     docs = spark.createDataFrame([(1, "The Bank of England met. GDP rose; GDP fell. Bank of England"), (2, None)], "doc_id long, text string")
     got = [(r.term, r.n, r.first_offset) for r in terms.candidates(docs).orderBy(F.desc("n"), "first_offset").collect()]
     assert got == [("GDP", 2, 25), ("The Bank of England", 1, 0), ("Bank of England", 1, 45)]
+
+
+def test_glossary_with_a_term_in_most_documents(spark):
+    """Nine documents in ten hold one term; a term without a Latin word is found too, and no part of a word is."""
+    docs = spark.createDataFrame([(i, "the hot term, a hot terms 中文" if i % 10 else "cold 中文") for i in range(300)], "doc_id long, text string")
+    glossary = spark.createDataFrame([("hot term", "热", 0), ("中文", "zh", 1), ("cold", "冷", 2), ("absent", "无", 3)], "source string, target string, ord int")
+    got = joins.glossary_hits(docs, glossary).groupBy("source").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("first_offset").alias("at")).collect()
+    assert {r.source: (r.k, r.n, r.at) for r in got} == {"hot term": (270, 270, 4), "中文": (300, 300, 5), "cold": (30, 30, 0)}
