@@ -321,12 +321,26 @@ def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.entity_rows(elements).select("elem_idx")
 
 
+def tracking_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as texts of pages, every fourth a code of mixed case: beyond the page, at its edge, or in its middle."""
+    k = F.col("p_partkey")
+    code = F.concat(F.lit("qX"), (k % 3).cast("string"), F.lit("b"), (k % 2).cast("string"), F.lit("Zt7"))
+    x0 = F.when(k % 3 == 0, -5.0).when(k % 3 == 1, 2.0).otherwise(300.0)
+    y0 = (k * 53 % 5 * 140.0).cast("double")
+    elements = table(spark, sf_dir, "part").select(
+        (k % 2).alias("doc_id"), F.floor(k / 3).alias("page_no"), k.alias("elem_idx"), F.when(k % 4 == 0, code).otherwise(F.col("p_name")).alias("content"), F.when(k % 28 == 0, "body").otherwise("scattered").alias("layout_class"),
+        x0.alias("x0"), y0.alias("y0"), (x0 + 30.0).alias("x1"), (y0 + 10.0).alias("y1"),
+    )
+    pages = elements.select("doc_id", "page_no").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    return policy.distribution_codes(elements, pages).select("elem_idx")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         layout_classes, element_rules, merged_lines, merged_items, merged_blocks, merged_headings, merged_entries, page_stamps, reading_ranks, cross_page, main_fonts, line_cells, block_paragraphs, block_alignment, touching_boxes, shallow_overlaps, images_outside, marker_targets, groups_above,
         word_overlap, glossary_hits, tabular, frozen_tables, formula_summary, warnings, fallback_closure, glyphs, formula_stubs, page_styles, kept_lines, repeated_columns,
-        sentence_tails, display_titles, reference_verdicts, merge_violations, paragraph_elements, table_cells, directories,
+        sentence_tails, display_titles, reference_verdicts, merge_violations, paragraph_elements, table_cells, directories, tracking_codes,
     )
 }
 
@@ -575,4 +589,13 @@ ORACLES = {
         g as (select *, case when y0 - lag(y0 + 10) over (partition by doc_id, page_no, col order by y0, k) > 50 then 1 else 0 end as far from d), u as (select *, sum(far) over (partition by doc_id, page_no, col order by y0, k) as run from g)
         select k as elem_idx from u qualify count(*) over (partition by doc_id, page_no, col, run) >= 5
     """,
+    "tracking_codes": """
+        with e as (select p_partkey % 2 as doc_id, p_partkey // 3 as page_no, p_partkey as k, case when p_partkey % 4 = 0 then 'qX' || p_partkey % 3 || 'b' || p_partkey % 2 || 'Zt7' else p_name end as t, p_partkey % 28 = 0 as body,
+            case p_partkey % 3 when 0 then -5.0::double when 1 then 2 else 300 end as x0, p_partkey * 53 % 5 * 140.0::double as y0 from part),
+        c as (select *, count(*) over (partition by doc_id, page_no) as n from e where not body and regexp_full_match(t, '[A-Za-z0-9]{8,40}') and regexp_matches(t, '[a-z]') and regexp_matches(t, '[A-Z]') and len(regexp_extract_all(t, '[A-Za-z]+|[0-9]+')) >= 4 and not regexp_matches(t, '[A-Z][a-z]{3,}|[a-z]{4,}')),
+        b as (select *, x0 <= -0.5 or y0 <= -0.5 or x0 + 30 >= 612.5 or y0 + 10 >= 792.5 as out from c where n <= 3 and (x0 <= -0.5 or y0 <= -0.5 or x0 + 30 >= 612.5 or y0 + 10 >= 792.5 or x0 + 30 <= 0.06 * 612 or x0 >= 0.94 * 612 or y0 + 10 <= 0.06 * 792 or y0 >= 0.94 * 792)),
+        a as (select * from b where not exists (select 1 from e where e.doc_id = b.doc_id and e.page_no = b.page_no and e.k <> b.k and b.x0 < e.x0 + 30 and e.x0 < b.x0 + 30 and b.y0 < e.y0 + 10 and e.y0 < b.y0 + 10)),
+        p as (select doc_id, t, round_even(x0 / 612 / 0.03::double, 0) as qx, round_even(y0 / 792 / 0.03::double, 0) as qy, count(distinct page_no) as n_pages from a group by 1, 2, 3, 4)
+        select k as elem_idx from a join p on p.doc_id = a.doc_id and p.t = a.t and qx = round_even(x0 / 612 / 0.03::double, 0) and qy = round_even(y0 / 792 / 0.03::double, 0) where out or n_pages >= 2
+    """,
 }
